@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, sentencepieces
+from . import decontaminate, exact_dedup, language_id, secrets, sentencepieces
 from .common import documents_only, table
 
 
@@ -19,6 +19,25 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = language_id.fold_of(F.col("doc_id"), 3) == 1
+    model = language_id.fit(docs.where(~held))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected", "entropy")
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    counts = [secrets.count_of(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    spans = F.array_sort(F.concat("base", "added"))
+    return found.select("doc_id", *counts, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(spans).alias("spans"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = sentencepieces.encode(documents_only(table(spark, sf_dir, "documents")), tokenizer_path())
     ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
@@ -27,6 +46,9 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_language_id": op6_language_id,
+    "op7_secret_scan": op7_secret_scan,
+    "op9_decontaminate": op9_decontaminate,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
