@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, secrets, sentencepieces
+from . import decontaminate, exact_dedup, html_text, language_id, quality, secrets, sentencepieces, toxicity
 from .common import documents_only, table
 
 
@@ -15,6 +15,10 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
@@ -34,6 +38,25 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(spans).alias("spans"))
 
 
+def _labelled(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).alias(name)).where(F.col(name).isNotNull()).dropDuplicates(["doc_id"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = language_id.fold_of(F.col("doc_id"), 5) == 0
+    ranker = quality.fit(_labelled(docs.where(~held), table(spark, sf_dir, "labels"), "quality"))
+    return quality.score(docs, ranker).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = language_id.fold_of(F.col("doc_id"), 4) == 2
+    scorer = toxicity.fit(_labelled(docs.where(~held), table(spark, sf_dir, "labels"), "toxic"))
+    return toxicity.score(docs, scorer).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,9 +68,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_html_text": op3_html_text,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_quality": op5_quality,
     "op6_language_id": op6_language_id,
     "op7_secret_scan": op7_secret_scan,
+    "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
     "op10_sentencepiece": op10_sentencepiece,
 }
