@@ -30,7 +30,7 @@ ORDER = 4
 PAD = ORDER - 1
 UNKNOWN = "und"
 _LOW48 = np.uint64((1 << 48) - 1)
-_SLICE = 1 << 20
+_SLICE = 1 << 18  # keeps a worker's arrays to a few tens of MB
 
 
 @lru_cache(maxsize=1)
@@ -252,8 +252,8 @@ def fold_of(doc_id: Column, modulus: int) -> Column:
 
 
 def fit(train: DataFrame, max_grams: int = 200_000, calibration_rows: int = 4_000) -> Model:
-    """Model from columns doc_id, text, lang. All rows are counted; ``calibration_rows`` bounds the
-    sample (rows of lowest identifier hash) from which the rejection limits are read."""
+    """Model from columns doc_id, text, lang. All rows are counted; the rejection limits
+    are read from a sample by identifier hash of about ``calibration_rows`` rows."""
     rows = train.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     counts = rows.select("text", "lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = counts.persist()
@@ -269,7 +269,8 @@ def fit(train: DataFrame, max_grams: int = 200_000, calibration_rows: int = 4_00
     counts.unpersist()
     if model.langs:
         spark = train.sparkSession
-        sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows).repartition(8)
+        share = min(1 << 30, -(-(calibration_rows << 30) // max(1, rows.count())))
+        sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
         seen = sample.select("doc_id", "text").mapInArrow(_predict(spark.sparkContext.broadcast(model), 0.0, True), _OUT).where("n_symbols > 0").toPandas()
         for lang, part in seen.groupby("lang_pred"):
             n, h = part["n_symbols"].to_numpy(float), part["entropy"].to_numpy()
