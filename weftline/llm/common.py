@@ -142,3 +142,15 @@ def grams(hashes: np.ndarray, n: int, which: int = 0) -> np.ndarray:
 def documents_only(df: DataFrame, *extra: str) -> DataFrame:
     """doc_id and text (null stays null); other columns are dropped so that none can clash."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: dict[int, int]) -> DataFrame:
+    """doc_id, text and y (0/1) of about ``rows[y]`` labelled documents a label, by identifier hash.
+
+    Only the labels are counted and thinned; what is left of them has a size bounded by ``rows`` and
+    is broadcast, so no text is shuffled."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)").dropDuplicates(["doc_id"])
+    sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = {y: min(1 << 30, -(-(n << 30) // max(1, sizes.get(y, 0)))) for y, n in rows.items()}
+    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
+    return documents_only(docs).join(F.broadcast(picked), "doc_id")
