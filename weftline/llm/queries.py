@@ -46,22 +46,17 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(spans).alias("spans"))
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).alias(name)).where(F.col(name).isNotNull()).dropDuplicates(["doc_id"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id")
-
-
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = language_id.fold_of(F.col("doc_id"), 5) == 0
-    ranker = quality.fit(_labelled(docs.where(~held), table(spark, sf_dir, "labels"), "quality"))
+    ranker = quality.fit(docs, table(spark, sf_dir, "labels").where(~held))
     return quality.score(docs, ranker).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = language_id.fold_of(F.col("doc_id"), 4) == 2
-    scorer = toxicity.fit(_labelled(docs.where(~held), table(spark, sf_dir, "labels"), "toxic"))
+    scorer = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held))
     return toxicity.score(docs, scorer).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import labelled_sample
+
 WIDTH, STEP = 64, 48
 GRAM, ENRICHED = 5, 20.0
 #: (dictionary with entropy tables, strategy, search log): raw or trained, double-fast or greedy
@@ -126,18 +128,16 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30))))
 
 
-def fit(train: DataFrame, label: str = "toxic", rows: int = 4_000, longest: int = 20_000, dictionary: int = 8_192, seed: int = 7) -> Scorer:
-    """Scorer from columns doc_id, text and ``label`` (0/1). The sample is bounded: about ``rows`` rows
-    of label 1 and twice as many of label 0, by identifier hash, of at most ``longest`` bytes each."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 4_000, longest: int = 20_000, dictionary: int = 8_192, seed: int = 7) -> Scorer:
+    """Scorer from documents and their labels (doc_id, ``label`` 0/1). The sample is bounded: about
+    ``rows`` rows of label 1 and twice as many of label 0, by identifier hash, less those of over
+    ``longest`` bytes."""
     import zstandard as z
 
-    known = train.where(F.col(label).isin(0, 1) & F.col("text").isNotNull() & (F.octet_length("text") <= longest)).select("doc_id", "text", F.col(label).alias("y"))
-    sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes.get(0) or not sizes.get(1):
+    sample = labelled_sample(docs, labels, label, {0: 2 * rows, 1: rows}).where(F.col("text").isNotNull() & (F.octet_length("text") <= longest))
+    sample = sample.select("text", "y", F.xxhash64("doc_id", F.lit(seed)).alias("h")).toPandas().sort_values(["h", "y", "text"])
+    if sample["y"].nunique() < 2:
         return Scorer(b"", b"")
-    share = {y: min(1 << 30, -(-((rows * (2 - y)) << 30) // n)) for y, n in sizes.items()}
-    dealt = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    sample = known.where(dealt < F.when(F.col("y") == 1, share[1]).otherwise(share[0])).select("text", "y", F.xxhash64("doc_id", F.lit(seed)).alias("h")).toPandas().sort_values(["h", "y", "text"])
     texts, y = [t.encode() for t in sample["text"]], sample["y"].to_numpy(float)
     half = np.arange(len(y)) % 2 == 0
     pick = lambda part, value: [t for t, p, v in zip(texts, part, y, strict=True) if p and v == value]
