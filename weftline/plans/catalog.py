@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import linking, measures, reviews, texts, trees
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _part in (reviews, measures, linking, texts, trees):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
