@@ -79,17 +79,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
-def _powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    base = _BASE[which]
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        p = np.full(size, b, np.uint64)
-        p[0] = 1
-        with np.errstate(over="ignore"):
-            out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 @lru_cache(maxsize=2)
@@ -98,10 +88,17 @@ def _byte_table(which: int) -> np.ndarray:
 
 
 def powers(which: int, need: int) -> tuple[np.ndarray, np.ndarray]:
-    size = SLICE_BYTES + 1
-    while size < need:
-        size *= 2
-    return _powers(which, size)
+    """Powers of the base and of its inverse; one pair of arrays each, as long as was ever needed."""
+    found = _POWERS.get(which)
+    if found is None or len(found[0]) < need:
+        size = 1 << max(16, int(need).bit_length())
+        both = []
+        for b in (_BASE[which], pow(_BASE[which], -1, 1 << 64)):
+            p = np.full(size, b, np.uint64)
+            p[0] = 1
+            both.append(np.cumprod(p, dtype=np.uint64))
+        found = _POWERS[which] = (both[0], both[1])
+    return found
 
 
 def ranges_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
@@ -154,3 +151,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: dict[i
     share = {y: min(1 << 30, -(-(n << 30) // max(1, sizes.get(y, 0)))) for y, n in rows.items()}
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
     return documents_only(docs).join(F.broadcast(picked), "doc_id")
+
+
+SMALL = 200_000
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not in ``dropped`` (distinct). The list is broadcast only if it
+    is counted to hold at most ``SMALL`` identifiers; beyond that both sides are shuffled."""
+    gone = dropped.select("doc_id")
+    return docs.join(F.broadcast(gone) if gone.count() <= SMALL else gone, "doc_id", "left_anti")

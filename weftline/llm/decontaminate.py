@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _byte_table, grams, materialise, mix, ranges_hash, slices, words
+from .common import _byte_table, grams, materialise, mix, ranges_hash, slices, without, words
 
 WINDOW, LITERALS, COVER, RUN = 8, 4, 0.6, 13
 BLOCK = 2_000_000
@@ -183,4 +183,4 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, literals: i
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all columns) that match no item."""
-    return docs.join(matches(docs, items).select("doc_id").distinct(), "doc_id", "left_anti")
+    return without(docs, materialise(matches(docs, items).select("doc_id").distinct(), "leaks"))

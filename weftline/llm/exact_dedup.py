@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PREFIX = 48
@@ -93,6 +93,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def deduplicate(df: DataFrame, keep: str = "max") -> DataFrame:
-    """The rows of ``df`` (all columns) whose text is the kept one of its group."""
-    kept = exact_groups(df, keep=keep).where("kept").select("doc_id").distinct()
-    return df.join(kept, "doc_id", "left_semi")
+    """The rows of ``df`` (all columns) whose text is the kept one of its group; an identifier that
+    stands for several texts stays if one of them is kept."""
+    ids = exact_groups(df, keep=keep).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
+    return without(df, materialise(ids.where("NOT kept").select("doc_id"), "dropped"))

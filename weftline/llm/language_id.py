@@ -21,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -284,3 +285,18 @@ def predict(df: DataFrame, model: Model, z: float = 8.0) -> DataFrame:
     """doc_id, lang_pred, score, rejected, entropy, n_symbols for each row."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_predict(shared, z, True), _OUT)
+
+
+def accepted(df: DataFrame, model: Model, z: float = 8.0) -> DataFrame:
+    """The rows of ``df`` (all columns) whose text is not rejected; one pass, nothing is joined."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    judge = _predict(shared, z, True)
+    text_at = df.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            plain = pa.record_batch([pa.array(np.arange(batch.num_rows)), batch.column(text_at)], names=["doc_id", "text"])
+            keep = pa.concat_arrays([pa.compute.invert(b.column("rejected")) for b in judge(iter([plain]))] or [pa.array([], pa.bool_())])
+            yield batch.filter(keep)
+
+    return df.mapInArrow(run, df.schema)
