@@ -8,13 +8,13 @@ register with the probability Jaccard similarity of their weighted shingles. Run
 hashed into bands; texts that share a band are candidates.
 
 Texts with the same set of shingles are one class, and only one text of a class goes on. A bucket of
-candidates is linked as a star around its densest member (the one in the fullest buckets), so a
-bucket of any size costs one pair a member. Where a star leaves a bucket in several components, two
-members that are similar to each other but not to the leader must share shingles that the leader
-lacks (or lie within it, and be of about its size): the bucket is dealt anew by those shingles, as
-many of the least hashes as prefix filtering asks for, and the new buckets are linked as stars again,
-until every bucket lies in one component. No link is lost that way and no bucket is paired with
-itself; copies with edits of their own share no such shingle and cost nothing more. Pairs are
+a few candidates is compared pair by pair; a larger one is linked as a star around its densest member
+(the one in the fullest buckets), so a bucket of any size costs one pair a member. Where a star leaves
+a bucket in several components, two members that are similar to each other but not to the leader must
+share shingles that the leader lacks (or lie within it, and be of about its size): the bucket is dealt
+anew by those shingles, as many as prefix filtering asks for with the rarest first, and the new
+buckets are treated alike until every bucket lies in one component. No link is lost that way, and
+copies that differ by edits of their own share no such shingle and cost nothing more. Pairs are
 verified by the Jaccard similarity of their distinct shingles.
 
 Defined cases: null and empty texts have no shingles and are groups of their own; repeated rows of
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _byte_table, documents_only, materialise, mix, ranges_hash, slices, words
+from .common import SMALL, _byte_table, documents_only, materialise, mix, ranges_hash, slices, without, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 26, 5
@@ -103,95 +103,132 @@ def _signatures(bands: int, rows: int):
     return run
 
 
-_REL = "a long, b long, similarity double, size int, common int, extras array<long>"
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            n = part.num_rows
+            sides = []
+            for side in ("text_a", "text_b"):
+                keys = [shingles(data, offsets)[0] + (np.uint64(at) << np.uint64(_ROOM)) for at, _, data, offsets in slices(part, side, 1 << 20)]
+                sides.append(np.concatenate(keys) if keys else np.zeros(0, np.uint64))
+            tally = lambda k: np.bincount((k >> np.uint64(_ROOM)).astype(np.int64), minlength=n)
+            both = np.sort(np.concatenate(sides))
+            size, common = tally(sides[1]), tally(both[1:][both[1:] == both[:-1]])
+            same = common / np.maximum(tally(sides[0]) + size - common, 1)
+            yield pa.record_batch([part.column("a"), part.column("b"), pa.array(same), pa.array(size.astype(np.int32)), pa.array(common.astype(np.int32))], names=["a", "b", "similarity", "size", "common"])
+
+
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, similarity, size (of b), common of pairs; each side's text joins by its identifier."""
+    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_compared, "a long, b long, similarity double, size int, common int")
 
 
-def _compared(similarity: float):
-    """Pairs with both texts to similarity, and the shingles of b that a lacks (prefix in hash order)."""
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    low = np.uint64((1 << _ROOM) - 1)
+    for batch in batches:
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        for lo, hi, data, offsets in slices(batch, "text", 1 << 20):
+            key, _ = shingles(data, offsets)
+            yield pa.record_batch([pa.array(ids[lo:hi][(key >> np.uint64(_ROOM)).astype(np.int64)]), pa.array((key & low).astype(np.int64))], names=["doc", "x"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = np.uint64((1 << _ROOM) - 1)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                n = part.num_rows
-                sides = []
-                for side in ("text_a", "text_b"):
-                    keys = [shingles(data, offsets)[0] + (np.uint64(at) << np.uint64(_ROOM)) for at, _, data, offsets in slices(part, side, 1 << 20)]
-                    sides.append(np.concatenate(keys) if keys else np.zeros(0, np.uint64))
-                tally = lambda k: np.bincount((k >> np.uint64(_ROOM)).astype(np.int64), minlength=n)
-                at = np.minimum(np.searchsorted(sides[0], sides[1]), max(0, len(sides[0]) - 1))
-                both = sides[0][at] == sides[1] if len(sides[0]) else np.zeros(len(sides[1]), bool)
-                size, common = tally(sides[1]), tally(sides[1][both])
-                same = common / np.maximum(tally(sides[0]) + size - common, 1)
-                extra = sides[1][~both]
-                left = size - common
-                # a partner shares at least need - common of b's extras, so one of the first left - (need - common) + 1
-                need = np.ceil(similarity * size - 1e-9).astype(np.int64)
-                take = np.where(need > common, np.minimum(left, left - (need - common) + 1), left)
-                place = np.arange(len(extra)) - np.repeat(np.cumsum(left) - left, left)
-                keep = place < np.repeat(take, left)
-                cut = np.concatenate([[0], np.cumsum(take)]).astype(np.int32)
-                extras = pa.ListArray.from_arrays(pa.array(cut), pa.array((extra[keep] & low).astype(np.int64)))
-                yield pa.record_batch([part.column("a"), part.column("b"), pa.array(same), pa.array(size.astype(np.int32)), pa.array(common.astype(np.int32)), extras], names=["a", "b", "similarity", "size", "common", "extras"])
 
-    return run
+def common_shingles(texts: DataFrame) -> DataFrame:
+    """doc and shared: its shingles that another of these texts has too, rarest first."""
+    every = materialise(texts.mapInArrow(_exploded, "doc long, x long"), "shingles")
+    again = every.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = F.array_sort(F.collect_list(F.struct("n", "x")))
+    return every.join(again, "x").groupBy("doc").agg(F.transform(rows, lambda r: r["x"]).alias("shared"))
 
 
-def compared(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """a, b, similarity, size (of b), common, extras of pairs; each side's text joins by its identifier."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_compared(similarity), _REL)
+class _Scale:
+    """How small tables of up to ``rows`` rows are joined and written: below a bound they are broadcast
+    (beyond it joins shuffle), and files hold a quarter of a million rows."""
+
+    def __init__(self, rows: int):
+        self.files = max(4, rows // 250_000)
+        self.near = F.broadcast if rows <= SMALL else lambda df: df
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        return materialise(df.repartition(self.files), label)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scale: _Scale) -> DataFrame:
     """node, component (its least node) of the graph of links (a, b); labels spread and jump until none changes."""
-    edges = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = materialise(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).select(F.col("a").alias("node"), "c"), "labels")
+    edges = scale.write(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    label = scale.write(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).select(F.col("a").alias("node"), "c"), "labels")
     while True:
-        near = edges.join(label.select(F.col("node").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m")).select(F.col("a").alias("node"), "m")
+        # a node takes the least label of its neighbours and of its own label's node
+        near = edges.join(scale.near(label.select(F.col("node").alias("b"), "c")), "b").groupBy("a").agg(F.min("c").alias("m")).select(F.col("a").alias("node"), "m")
         jump = label.select(F.col("node").alias("c"), F.col("c").alias("j"))
-        new = label.join(near, "node").join(jump, "c").select("node", F.least("m", "j", "c").alias("c2"), "c")
-        new = materialise(new, "labels")
+        new = near.join(scale.near(label), "node").join(scale.near(jump), "c").select("node", F.least("m", "j", "c").alias("c2"), "c")
+        new = scale.write(new, "labels")
         changed = not new.where("c2 <> c").isEmpty()
         label = new.select("node", F.col("c2").alias("c"))
         if not changed:
             return label.select("node", F.col("c").alias("component"))
 
 
-def _open(buckets: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """key, doc, score, component of the buckets that lie in more than one component."""
-    if comp is None:
-        return buckets.withColumn("component", F.col("doc"))
-    labelled = buckets.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    return labelled.join(keys, "key")
-
-
-def _shared(buckets: DataFrame) -> DataFrame:
-    """Without keys that only one row has."""
-    return buckets.join(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key", "left_semi")
-
-
-def _dealt_anew(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """Stars (lead, doc) that stay open to new buckets: by leader and shingle beyond it, or by
-    lying within the leader."""
-    rel = pairs.withColumnsRenamed({"lead": "a", "doc": "b"}).join(known, ["a", "b"])
-    beyond = rel.select("a", "b", F.explode("extras").alias("x")).select(F.xxhash64("a", "x").alias("key"), F.col("b").alias("doc"))
-    within = rel.where(F.col("similarity") < similarity).where(F.col("common") >= similarity * F.col("size"))
-    inner = within.select(F.xxhash64("a", F.lit("within")).alias("key"), F.col("b").alias("doc"))
-    # linked texts short enough to match one that lies within the leader
-    least = within.groupBy("a").agg(F.max("size").alias("top"))
-    short = rel.where(F.col("similarity") >= similarity).join(least, "a").where(F.col("size") < 0.95 * F.col("top"))
-    return beyond.unionByName(inner).unionByName(short.select(F.xxhash64("a", F.lit("within")).alias("key"), F.col("b").alias("doc"))).distinct()
-
-
-def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similarity: float = SIMILARITY, turns: int = 8) -> DataFrame:
+def _open(buckets: DataFrame, comp: DataFrame | None, scale: _Scale) -> DataFrame:
+    """key, doc, p, score, component, n (members) of the buckets that lie in more than one component
+    and hold more than one p."""
+    labelled = buckets.withColumn("component", F.col("doc")) if comp is None else buckets.join(scale.near(comp.withColumnRenamed("node", "doc")), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    ends = [f(c).alias(f"{c}_{i}") for c in ("component", "p") for i, f in ((0, F.min), (1, F.max))]
+    keys = labelled.groupBy("key").agg(*ends, F.count(F.lit(1)).alias("n")).where("component_0 <> component_1 AND p_0 <> p_1").select("key", "n")
+    return labelled.join(keys, "key").select("key", "doc", "p", "score", "component", "n")
+
+
+def _extras(rel: DataFrame, known: DataFrame, shared: DataFrame, similarity: float, scale: _Scale) -> DataFrame:
+    """key, doc, p for compared pairs (a: lead, b: doc, p): buckets by leader and shingle beyond it, or
+    by lying within the leader.
+
+    A partner of a text shares at least ceil(similarity * size) of its shingles, hence, beyond those
+    in common with the leader, one of the first so many in any fixed order. Shingles of no other text
+    come first in that order and need no bucket."""
+    none = F.array().cast("array<long>")
+    rel = rel.join(known, ["a", "b"])
+    rel = rel.join(shared.select(F.col("doc").alias("a"), F.col("shared").alias("sa")), "a", "left").join(shared.select(F.col("doc").alias("b"), F.col("shared").alias("sb")), "b", "left")
+    sa, sb = F.coalesce("sa", none), F.coalesce("sb", none)
+    need = F.ceil(F.lit(similarity) * F.col("size") - 1e-9).cast("int")
+    beyond = F.array_except(sb, sa)
+    first = F.size(sb) - need + 1  # the prefix less the shingles of no other text
+    take = F.when(need > F.col("common"), F.greatest(F.lit(0), first)).otherwise(F.size(beyond))
+    keys = rel.select("a", "b", "p", F.explode(F.slice(beyond, F.lit(1), take)).alias("x")).select(F.xxhash64("a", "x", F.col("p") == F.col("b")).alias("key"), F.col("b").alias("doc"), "p")
+    # shingles of the leader alone can make b and a text of up to ``limit`` shingles similar
+    limit = F.when(F.col("similarity") < similarity, F.floor((1 + similarity) / similarity * F.col("common") + 1e-9) - F.col("size"))
+    sized = rel.select("a", "b", "p", "size", limit.alias("limit"))
+    ends = sized.groupBy("a").agg(F.min("size").alias("lo"), F.max("limit").alias("hi")).where("lo <= hi")
+    within = sized.join(scale.near(ends), "a").where("size <= hi OR limit >= lo")
+    return keys.unionByName(within.select(F.xxhash64("a", F.lit("within"), F.col("p") == F.col("b")).alias("key"), F.col("b").alias("doc"), "p")).distinct()
+
+
+def _dealt_anew(star: DataFrame, known: DataFrame, shared: DataFrame, similarity: float, scale: _Scale) -> DataFrame:
+    """New buckets for stars (key, lead, doc) that stay open.
+
+    Each text has a main leader: of those it was compared with, the one compared with most texts. Two texts of one main
+    leader are settled by its extras alone (p is then the text itself, so all pairs count); only a
+    bucket whose members have several is dealt by its own leader too, for the pairs across (p is the
+    main leader)."""
+    docs = star.select("doc").distinct()
+    fame = known.groupBy("a").agg(F.count(F.lit(1)).alias("fame"))
+    main = known.select("a", F.col("b").alias("doc")).join(scale.near(docs), "doc", "left_semi").join(scale.near(fame), "a")
+    main = main.groupBy("doc").agg(F.max_by("a", F.struct("fame", -F.col("a"))).alias("main"))
+    own = main.select(F.col("main").alias("a"), F.col("doc").alias("b"), F.col("doc").alias("p"))
+    tagged = star.join(scale.near(main), "doc")
+    mixed = tagged.groupBy("key").agg(F.min("main").alias("m0"), F.max("main").alias("m1")).where("m0 <> m1").select("key")
+    across = tagged.join(mixed, "key", "left_semi").select(F.col("lead").alias("a"), F.col("doc").alias("b"), F.col("main").alias("p")).distinct()
+    found = _extras(own.unionByName(across), known, shared, similarity, scale)
+    more = found.groupBy("key").agg(F.min("p").alias("p0"), F.max("p").alias("p1")).where("p0 <> p1").select("key")
+    return found.join(more, "key", "left_semi")
+
+
+def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similarity: float = SIMILARITY, turns: int = 2, few: tuple[int, int] = (6, 48)) -> DataFrame:
     """doc_id, group_id for every row: group_id is the least identifier of the text's group.
 
-    Stars are drawn for at most ``turns`` turns; buckets still open then are compared pair by pair
-    between components."""
+    Buckets of at most ``few`` members (in the first turn, later) are compared pair by pair between
+    components, larger ones as stars for ``turns`` turns; what is open then is compared pair by pair."""
     text = documents_only(docs)
     sig = materialise(text.mapInArrow(_signatures(bands, rows), "doc_id long, s1 long, s2 long, size int, bands array<long>"), "signatures")
     classes = sig.where("size > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
@@ -199,39 +236,48 @@ def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similarity: fl
     entry = classes.select(F.col("rep").alias("doc"), F.explode("bands").alias("key"))
     full = entry.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     entry = materialise(entry.join(full, "key"), "buckets")
-    dense = entry.groupBy("doc").agg(F.sum("n").alias("score"))
-    dense = materialise(dense, "dense")
-    texts = materialise(text.join(dense.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidates")
+    dense = materialise(entry.groupBy("doc").agg(F.sum("n").alias("score")), "dense")
+    scale = _Scale(dense.count())
+    texts = materialise(text.join(scale.near(dense.select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidates")
 
-    buckets, comp, known = entry.select("key", "doc"), None, None
+    buckets, comp, known, shared = entry.select("key", "doc", F.col("doc").alias("p")), None, None, None
     for turn in range(turns + 1):
-        rest = materialise(_open(buckets.join(dense, "doc"), comp), "open")
-        if rest.isEmpty():
-            break
-        if turn < turns:
-            lead = rest.groupBy("key").agg(F.max(F.struct("score", (-F.col("doc")).alias("d"))).alias("top")).select("key", (-F.col("top.d")).alias("lead"))
-            star = materialise(rest.join(lead, "key").where("doc <> lead").select("key", "lead", "doc"), "stars")
-            pairs = star.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
-        else:
-            other = rest.select("key", F.col("doc").alias("doc2"), F.col("component").alias("component2"))
-            star = None
-            pairs = rest.join(other, "key").where("doc < doc2 and component <> component2").select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct()
+        rest = scale.write(_open(buckets.join(scale.near(dense), "doc"), comp, scale), "open")
+        least = few[min(turn, 1)] if turn < turns else 1 << 62
+        small, large = rest.where(F.col("n") <= least), rest.where(F.col("n") > least)
+        other = small.select("key", F.col("doc").alias("doc2"), F.col("component").alias("component2"), F.col("p").alias("p2"))
+        pairs = small.join(other, "key").where("doc < doc2 AND component <> component2 AND p <> p2").select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct()
         if known is not None:
-            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        new = materialise(compared(pairs, texts, similarity), "compared")
+            seen = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        star = None
+        if turn < turns and not large.isEmpty():
+            lead = large.groupBy("key").agg(F.max(F.struct("score", (-F.col("doc")).alias("d"))).alias("top")).select("key", (-F.col("top.d")).alias("lead"))
+            star = scale.write(large.join(lead, "key").where("doc <> lead").select("key", "lead", "doc"), "stars")
+            rays = star.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
+            pairs = pairs.unionByName(rays if known is None else rays.join(known.select("a", "b"), ["a", "b"], "left_anti")).distinct()
+        new = scale.write(compared(pairs, texts), "compared")
+        if new.isEmpty() and star is None:
+            break
         known = new if known is None else known.unionByName(new)
-        comp = components(known.where(F.col("similarity") >= similarity))
+        comp = components(known.where(F.col("similarity") >= similarity), scale)
         if star is None:
             break
-        still = _open(rest.select("key", "doc", "score"), comp).select("key").distinct()
-        buckets = materialise(_shared(_dealt_anew(star.join(still, "key", "left_semi").select("lead", "doc").distinct(), known, similarity)), "dealt")
+        still = _open(large.select("key", "doc", "p", "score"), comp, scale).select("key").distinct()
+        star = scale.write(star.join(still, "key", "left_semi"), "rays")
+        if star.isEmpty():
+            break
+        if shared is None:  # later buckets hold only members of these, and their leaders
+            held = star.select(F.col("doc").alias("doc_id")).union(known.select("a")).distinct()
+            shared = scale.write(common_shingles(texts.join(scale.near(held), "doc_id", "left_semi")), "shared")
+        buckets = scale.write(_dealt_anew(star, known, shared, similarity, scale), "dealt")
     if comp is None:
         comp = dense.select(F.col("doc").alias("node"), F.col("doc").alias("component"))
-    reps = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("group_id"))
+    reps = classes.join(scale.near(comp.withColumnRenamed("node", "rep")), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("group_id"))
     return sig.join(reps, ["s1", "s2"], "left").select("doc_id", F.when(F.col("size") > 0, F.col("group_id")).otherwise(F.col("doc_id")).alias("group_id"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all columns) whose identifier names its group."""
-    kept = groups(docs).where("doc_id = group_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    found = groups(docs).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
+    return without(docs, materialise(found.where("doc_id <> group_id").select("doc_id"), "dropped"))
