@@ -38,7 +38,7 @@ def import_of(line: Column) -> Column:
     none = F.array().cast("array<string>")
     items = F.concat(
         F.when(space != "", F.array(F.concat(F.lit("* as "), space))).otherwise(none),
-        F.when(named != "", F.transform(F.split(F.regexp_replace(named, r"[{}]", ""), ","), F.trim)).otherwise(none),
+        F.when(named != "", F.transform(F.split(F.regexp_replace(named, r"[{}]", ""), ","), lambda s: F.trim(s))).otherwise(none),
         F.when(plain != "", F.array(plain)).otherwise(none),
     )
     return F.when(line.rlike(IMPORT), F.struct(g(7).alias("module"), items.alias("items")))

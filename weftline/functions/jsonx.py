@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def balanced(text: str) -> list[str]:
@@ -45,7 +46,7 @@ def _first_valid(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def balanced_json(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """First balanced stretch that parses: the one scan that no built-in expression states."""
     for s in texts:
@@ -53,7 +54,9 @@ def balanced_json(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def _valid(text: Column) -> Column:
-    return F.when(F.try_parse_json(text).isNotNull() & (F.trim(text) != ""), text)
+    # the parser stops after one value; as the only element of an array nothing may follow it
+    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    return F.when(F.try_parse_json(text).isNotNull() & (F.trim(text) != "") & alone, text)
 
 
 def extract_json(text: Column) -> Column:

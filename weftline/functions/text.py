@@ -171,7 +171,7 @@ def language_context(extension: Column) -> Column:
 def domain_phrase(response: Column) -> Column:
     """First run of two to five words, in any clause, that begins with a verb of the list, has at most
     30 characters and none of 'the ', 'this ', 'that '; title-cased. Null if there is none."""
-    clauses = F.filter(F.transform(F.split(F.lower(response), r"[.,:;!?\n]"), F.trim), lambda c: c != "")
+    clauses = F.filter(F.transform(F.split(F.lower(response), r"[.,:;!?\n]"), lambda c: F.trim(c)), lambda c: c != "")
 
     def runs(clause: Column) -> Column:
         words = F.split(clause, r"\s+")
