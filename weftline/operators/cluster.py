@@ -7,18 +7,32 @@ larger than ``limit`` edges is folded by rounds of joins instead of in one task.
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint in the folder that the cluster shares (spark.checkpoint.dir); a local one only where unset."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        at = context.getConf().get("spark.checkpoint.dir")
+        if not at and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(at or os.path.join(tempfile.gettempdir(), "weftline-checkpoints"))
+    return df.checkpoint()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (least node) of undirected edges (a, b)."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).withColumnRenamed("a", "node")
     while True:
         near = both.join(label.select(F.col("node").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m")).withColumnRenamed("a", "node")
-        new = label.join(near, "node").select("node", F.least("c", "m").alias("c"), (F.col("m") < F.col("c")).alias("moved")).checkpoint()
+        new = cut(label.join(near, "node").select("node", F.least("c", "m").alias("c"), (F.col("m") < F.col("c")).alias("moved")))
         label = new.select("node", "c")
         if new.where("moved").isEmpty():
             return label.withColumnRenamed("c", "component")
@@ -58,12 +72,12 @@ def leaders_by_rounds(edges: DataFrame) -> DataFrame:
     open one; it is claimed by its least leading neighbour once no open neighbour is smaller than that
     (one might still come to lead and would have been first). The least open item always settles."""
     pair = edges.select(F.col("a").cast("long").alias("x"), F.col("b").cast("long").alias("y"))
-    near = pair.unionByName(pair.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct().checkpoint()
-    state = near.select("x").distinct().select("x", F.lit(None).cast("long").alias("leader")).checkpoint()
+    near = cut(pair.unionByName(pair.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+    state = cut(near.select("x").distinct().select("x", F.lit(None).cast("long").alias("leader")))
     while True:
         other = state.select(F.col("x").alias("y"), (F.col("leader") == F.col("x")).alias("leads"), F.col("leader").isNull().alias("open"))
         seen = near.join(other, "y").groupBy("x").agg(F.min(F.when(F.col("leads"), F.col("y"))).alias("m_lead"), F.min(F.when(F.col("open") & (F.col("y") < F.col("x")), F.col("y"))).alias("m_open"))
         claim = F.when(F.col("m_open").isNull() | (F.col("m_lead") < F.col("m_open")), F.coalesce("m_lead", "x"))
-        state = state.join(seen, "x").select("x", F.coalesce("leader", claim).alias("leader")).checkpoint()
+        state = cut(state.join(seen, "x").select("x", F.coalesce("leader", claim).alias("leader")))
         if state.where("leader IS NULL").isEmpty():
             return state.select(F.col("x").alias("item"), "leader")
