@@ -36,6 +36,9 @@ from pyspark.sql import functions as F
 from .common import documents_only, grams, materialise, ranges_hash, slices, word_hashes, words
 
 WIDTH, GRAM = 35, 8
+_SLICE = 1 << 19  # keeps a worker's arrays to a few tens of MB
+#: A fingerprint is hot if it has at least this share of all occurrences; there are at most 1 / HOT such.
+HOT = 1e-4
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -68,7 +71,7 @@ def _anchors(width: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in slices(batch, "text", 1 << 21):
+            for lo, hi, data, offsets in slices(batch, "text", _SLICE):
                 starts, ends, first = words(data, offsets)
                 own = _owners(first)
                 h = word_hashes(data, starts, ends)
@@ -95,7 +98,7 @@ def _zone_windows(width: int):
             per, flat = zones.value_lengths().to_numpy(zero_copy_only=False), zones.flatten()
             begin, size, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
             cuts = np.concatenate([[0], np.cumsum(per)])
-            for lo, hi, data, offsets in slices(batch, "text", 1 << 21):
+            for lo, hi, data, offsets in slices(batch, "text", _SLICE):
                 starts, ends, first = words(data, offsets)
                 z = slice(cuts[lo], cuts[hi])
                 doc = np.repeat(np.arange(hi - lo), per[lo:hi])
@@ -115,25 +118,24 @@ def _removed(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, total, gone = [], [], []
-            for text, starts in zip(batch.column("text"), batch.column("zones"), strict=True):
-                own = (text.as_py() or "").encode().split()
-                drop = np.zeros(len(own) + 1, np.int32)
-                if starts.is_valid:
-                    begin, size = (starts.values.field(k).to_numpy(zero_copy_only=False) for k in range(2))
-                    np.add.at(drop, begin, 1)
-                    np.add.at(drop, begin + size - 1 + width, -1)
-                    cover = np.cumsum(drop[:-1]) > 0
-                    left = [w for w, c in zip(own, cover.tolist(), strict=True) if not c]
-                else:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                kept, total, gone = [], [], []
+                for text, zones in zip(part.column("text"), part.column("zones"), strict=True):
+                    own = (text.as_py() or "").encode().split()
                     left = own
-                kept.append(b" ".join(left))
-                total.append(len(own))
-                gone.append(len(own) - len(left))
-            yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array([k.decode() for k in kept], pa.string()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"],
-            )
+                    if zones.is_valid:
+                        begin, size = (zones.values.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+                        drop = np.zeros(len(own) + 1, np.int32)
+                        np.add.at(drop, begin, 1)
+                        np.add.at(drop, begin + size - 1 + width, -1)
+                        cover = np.cumsum(drop[:-1]) > 0
+                        left = [w for w, c in zip(own, cover.tolist(), strict=True) if not c]
+                    kept.append(b" ".join(left))
+                    total.append(len(own))
+                    gone.append(len(own) - len(left))
+                cols = [part.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array([k.decode() for k in kept], pa.string()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+                yield pa.record_batch(cols, names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
 
     return run
 
@@ -145,7 +147,7 @@ class FingerprintIndex:
 
     def __init__(self, spark: SparkSession, buckets: int | None = None, width: int = WIDTH, gram: int = GRAM):
         self.spark, self.width, self.gram = spark, width, gram
-        self.buckets = buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.buckets = buckets
         self.name = f"fingerprints_{uuid.uuid4().hex[:12]}"
         self.runs: list[str] = []
         self.made = 0
@@ -153,8 +155,9 @@ class FingerprintIndex:
     def _write(self, df: DataFrame) -> str:
         name = f"{self.name}_{self.made}"
         self.made += 1
-        # dealt by the bucket hash already, so each task writes one sorted file
-        df.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").format("parquet").saveAsTable(name)
+        # few buckets: tasks are merged and each writes a part of every bucket; many: one file a bucket
+        dealt = df.coalesce(self.buckets) if self.buckets <= 16 else df.repartition(self.buckets, "fp")
+        dealt.sortWithinPartitions("fp").write.bucketBy(self.buckets, "fp").sortBy("fp").format("parquet").saveAsTable(name)
         return name
 
     def anchors(self, docs: DataFrame) -> DataFrame:
@@ -163,6 +166,7 @@ class FingerprintIndex:
 
     def append(self, anchors: DataFrame) -> str:
         """Add a batch's fingerprints as a new run."""
+        self.buckets = self.buckets or max(6, anchors.count() // 1_000_000)
         run = anchors.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("zone").alias("low"), F.max("zone").alias("high"))
         self.runs.append(self._write(run.withColumn("high", F.nullif("high", F.col("low")))))
         return self.runs[-1]
@@ -191,9 +195,9 @@ class FingerprintIndex:
             self.runs = [merged, *self.runs[2:]]
 
     def repeated(self) -> DataFrame:
-        """fp and mixed (its zones differ) of fingerprints that occur more than once so far."""
+        """fp, n and mixed (its zones differ) of fingerprints that occur more than once so far."""
         self.compact()
-        return self.spark.table(self.runs[0]).where("n > 1").select("fp", F.col("high").isNotNull().alias("mixed"))
+        return self.spark.table(self.runs[0]).where("n > 1").select("fp", "n", F.col("high").isNotNull().alias("mixed"))
 
     def drop(self) -> None:
         for run in self.runs:
@@ -201,16 +205,21 @@ class FingerprintIndex:
         self.runs = []
 
 
-def repeated_zones(docs: DataFrame, anchors: DataFrame, repeated: DataFrame, width: int = WIDTH) -> DataFrame:
+def repeated_zones(docs: DataFrame, anchors: DataFrame, repeated: DataFrame, width: int = WIDTH, files: int = 6) -> DataFrame:
     """doc_id and zones (array of start, size): the windows that start anywhere else too."""
-    again = materialise(anchors.join(repeated, "fp").drop("fp"), "again")
+    # occurrences of hot fingerprints are found on the map side: those are at most 1 / HOT rows
+    cut = max(1000, int(HOT * anchors.count()))
+    hot = F.broadcast(repeated.where(F.col("n") >= cut).select("fp", "mixed"))
+    cold = repeated.where(F.col("n") < cut).select("fp", "mixed")
+    again = anchors.join(hot, "fp").unionByName(anchors.join(hot.select("fp"), "fp", "left_anti").join(cold, "fp"))
+    again = materialise(again.drop("fp").repartition(files), "again")
     whole = again.where("not mixed").select("doc_id", "start", "size")
     contents = again.where("mixed").groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start", "size")).alias("z"))
-    contents = materialise(contents.select("zone", "n", "z.*"), "zones")
+    contents = materialise(contents.select("zone", "n", "z.*").repartition(files), "zones")
     copied = again.where("mixed").join(contents.where("n > 1").select("zone"), "zone", "left_semi").select("doc_id", "start", "size")
     near = contents.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size", "n")).alias("zones"))
     near = documents_only(docs).join(near, "doc_id").mapInArrow(_zone_windows(width), "w1 long, w2 int, doc_id long, start int, alone boolean")
-    near = materialise(near, "windows")
+    near = materialise(near.repartition(files), "windows")
     twice = near.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m"), F.bool_or("alone").alias("some")).where("m > 1 and some").select("w1", "w2")
     single = near.where("alone").join(twice, ["w1", "w2"], "left_semi").select("doc_id", "start", F.lit(1).alias("size"))
     every = whole.unionByName(copied).unionByName(single)
@@ -226,6 +235,6 @@ def remove_repeats(docs: DataFrame, batches: int = 2, width: int = WIDTH, gram:
     part = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
     for i in range(batches):
         index.append(anchors.where(part == i))
-    zones = materialise(repeated_zones(docs, anchors, index.repeated(), width), "starts")
+    zones = materialise(repeated_zones(docs, anchors, index.repeated(), width, index.buckets).repartition(index.buckets), "starts")
     index.drop()
     return documents_only(docs).join(zones, "doc_id", "left").mapInArrow(_removed(width), "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
