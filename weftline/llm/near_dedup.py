@@ -148,7 +148,7 @@ class _Scale:
     (beyond it joins shuffle), and files hold a quarter of a million rows."""
 
     def __init__(self, rows: int):
-        self.files = max(4, rows // 250_000)
+        self.files = max(6, rows // 250_000)
         self.near = F.broadcast if rows <= SMALL else lambda df: df
 
     def write(self, df: DataFrame, label: str) -> DataFrame:
@@ -231,14 +231,15 @@ def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similarity: fl
     components, larger ones as stars for ``turns`` turns; what is open then is compared pair by pair."""
     text = documents_only(docs)
     sig = materialise(text.mapInArrow(_signatures(bands, rows), "doc_id long, s1 long, s2 long, size int, bands array<long>"), "signatures")
+    scale = _Scale(sig.count())
     classes = sig.where("size > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
-    classes = materialise(classes, "classes")
+    classes = scale.write(classes, "classes")
     entry = classes.select(F.col("rep").alias("doc"), F.explode("bands").alias("key"))
     full = entry.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    entry = materialise(entry.join(full, "key"), "buckets")
-    dense = materialise(entry.groupBy("doc").agg(F.sum("n").alias("score")), "dense")
+    entry = scale.write(entry.join(full, "key"), "buckets")
+    dense = scale.write(entry.groupBy("doc").agg(F.sum("n").alias("score")), "dense")
     scale = _Scale(dense.count())
-    texts = materialise(text.join(scale.near(dense.select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidates")
+    texts = materialise(text.join(scale.near(dense.select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi").dropDuplicates(["doc_id"]).repartition(scale.files), "candidates")
 
     buckets, comp, known, shared = entry.select("key", "doc", F.col("doc").alias("p")), None, None, None
     for turn in range(turns + 1):
