@@ -6,7 +6,7 @@ dictionary trained on them as they are differs from the ordinary one chiefly by
 one is the ordinary dictionary followed by the strings that toxic texts are enriched in. A window
 then compresses shorter with it only if it holds such strings. Window by window the compressed
 lengths are compared under several compressor settings, and what the differences look like over the
-whole text goes through a logistic calibration fitted on sample rows that made no dictionary.
+whole text goes through a logistic calibration fitted on sample rows by dictionaries that they made no part of.
 
 Defined cases: null and empty texts have one empty window and get the score of a text without any
 toxic window; texts of any length are compared whole; without rows of both labels every score is 0.
@@ -14,6 +14,7 @@ toxic window; texts of any length are compared whole; without rows of both label
 
 from __future__ import annotations
 
+import os
 import random
 from collections import Counter
 from collections.abc import Iterator
@@ -23,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import labelled_sample, tidy
 
 WIDTH, STEP = 64, 48
-GRAM, ENRICHED = 5, 20.0
+GRAM, ENRICHED, SHARE = 5, 20.0, 0.04
 #: (dictionary with entropy tables, strategy, search log): raw or trained, double-fast or greedy
 SETTINGS = ((False, 2, 1), (False, 3, 4), (True, 3, 4))
 THRESHOLD = 0.3
+#: With so many toxic rows the dictionaries of one half are as good as those of all.
+ENOUGH = 1000
 
 
 def _windows(text: bytes) -> list[bytes]:
@@ -68,7 +71,14 @@ def enriched_strings(toxic: list[bytes], ordinary: list[bytes], size: int = 2048
             break
         if not any(piece in x for x in out):
             out.append(piece)
-    return out
+    # inflected forms of one stem stand for it; a stem must be as enriched, and common among toxic texts
+    by: dict[bytes, list[bytes]] = {}
+    for piece in out:
+        by.setdefault(piece[: GRAM - 1], []).append(piece)
+    stems = dict.fromkeys(os.path.commonprefix(by[p[: GRAM - 1]]) if len(by[p[: GRAM - 1]]) > 2 else p for p in out)
+    count = lambda stem, texts: sum(stem in t for t in texts)
+    kept = [(x, count(x, toxic), count(x, ordinary)) for x in stems]
+    return [x for x, a, b in kept if a >= max(3, SHARE * nt) and (a + 0.5) * (no + 1) >= ENRICHED * (b + 0.5) * (nt + 1)]
 
 
 class Scorer:
@@ -107,8 +117,8 @@ class Scorer:
             out += [max(0, top[0]), max(0, top.mean()), max(0.0, d.mean()), *(c / n for c in counts), *(np.sqrt(c) for c in counts)]
         return np.log1p(np.array([*out, np.log1p(len(found))], float))
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, ridge: float = 2.0) -> None:
-        x = np.stack([self.features(t) for t in texts])
+    def fit(self, x: np.ndarray, labels: np.ndarray, ridge: float = 2.0) -> None:
+        """Logistic calibration of features ``x``."""
         self.mean, self.spread = x.mean(0), x.std(0) + 1e-6
         x = np.column_stack([(x - self.mean) / self.spread, np.ones(len(x))])
         w, pull = np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, ridge), 1e-3)
@@ -132,28 +142,31 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 4_
     """Scorer from documents and their labels (doc_id, ``label`` 0/1). The sample is bounded: about
     ``rows`` rows of label 1 and twice as many of label 0, by identifier hash, less those of over
     ``longest`` bytes."""
-    import zstandard as z
-
     sample = labelled_sample(docs, labels, label, {0: 2 * rows, 1: rows}).where(F.col("text").isNotNull() & (F.octet_length("text") <= longest))
     sample = sample.select("text", "y", F.xxhash64("doc_id", F.lit(seed)).alias("h")).toPandas().sort_values(["h", "y", "text"])
     if sample["y"].nunique() < 2:
         return Scorer(b"", b"")
     texts, y = [t.encode() for t in sample["text"]], sample["y"].to_numpy(float)
-    half = np.arange(len(y)) % 2 == 0
-    pick = lambda part, value: [t for t, p, v in zip(texts, part, y, strict=True) if p and v == value]
-    toxic, ordinary = pick(half, 1) or pick(~half, 1), pick(half, 0) or pick(~half, 0)
-    own = random.Random(seed)
+    part = np.arange(len(y)) % 2
+    half = [_dictionaries([t for t, p in zip(texts, part, strict=True) if p == k], y[part == k], dictionary, seed) for k in (0, 1)]
+    # features of each half come from dictionaries that it made no part of
+    x = np.stack([half[1 - p].features(t) for t, p in zip(texts, part, strict=True)])
+    scorer = half[0] if (y == 1).sum() >= ENOUGH else _dictionaries(texts, y, dictionary, seed)
+    scorer.fit(x, y)
+    return scorer
+
+
+def _dictionaries(texts: list[bytes], y: np.ndarray, size: int, seed: int) -> Scorer:
+    import zstandard as z
+
+    toxic, ordinary = ([t for t, v in zip(texts, y, strict=True) if v == k] for k in (1, 0))
     windows = [w for t in ordinary for w in _windows(t)]
-    own.shuffle(windows)
+    random.Random(seed).shuffle(windows)
     try:
-        base = z.train_dictionary(dictionary, windows[:20_000], k=64, d=8).as_bytes()
+        base = z.train_dictionary(size, windows[:20_000], k=64, d=8).as_bytes()
     except z.ZstdError:  # too little text to train on
-        base = b"".join(windows)[:dictionary]
-    extra = b"".join(b" " + s for s in reversed(enriched_strings(toxic, ordinary)))
-    scorer = Scorer(base, extra)
-    fitted = ~half if (~half).any() and len(set(y[~half])) == 2 else np.ones(len(y), bool)
-    scorer.fit([t for t, p in zip(texts, fitted, strict=True) if p], y[fitted])
-    return scorer
+        base = b"".join(windows)[:size] or b"0" * 64
+    return Scorer(base, b"".join(b" " + s for s in reversed(enriched_strings(toxic, ordinary))))
 
 
 def score(df: DataFrame, scorer: Scorer) -> DataFrame:
@@ -166,4 +179,4 @@ def score(df: DataFrame, scorer: Scorer) -> DataFrame:
             found = [s.score((t.as_py() or "").encode()) for t in batch.column("text")]
             yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.float64()), pa.array([int(x >= THRESHOLD) for x in found], pa.int32())], names=["doc_id", "score", "predicted"])
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, score double, predicted int")
