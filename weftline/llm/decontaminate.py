@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _byte_table, grams, materialise, mix, ranges_hash, slices, without, words
+from .common import _byte_table, grams, materialise, mix, ranges_hash, slices, tidy, without, words
 
 WINDOW, LITERALS, COVER, RUN = 8, 4, 0.6, 13
 BLOCK = 2_000_000
@@ -150,7 +150,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, literals: i
     spark = docs.sparkSession
     side = items.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     sizes = [*range(3, window + 1)]
-    item_rows = materialise(side.mapInArrow(_search(window, literals, sizes), _DDL), "items")
+    item_rows = materialise(side.mapInArrow(tidy(_search(window, literals, sizes)), _DDL), "items")
     n_rows = item_rows.count()
     used = sorted(r["size"] for r in item_rows.select("size").distinct().collect())  # at most ``window`` values
     text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
@@ -160,7 +160,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, literals: i
         own = item_rows.where(F.pmod(F.col("hash"), F.lit(parts)) == i).select("hash").distinct().toPandas()["hash"].to_numpy(np.int64).view(np.uint64)
         if len(own):
             shared = spark.sparkContext.broadcast(_Wanted(own))
-            one = text.mapInArrow(_search(window, literals, used, shared), _DDL)
+            one = text.mapInArrow(tidy(_search(window, literals, used, shared)), _DDL)
             found = one if found is None else found.unionByName(one)
     if found is None:
         found = item_rows.limit(0)

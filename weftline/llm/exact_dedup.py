@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, without
+from .common import materialise, tidy, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PREFIX = 48
@@ -82,7 +82,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = partitions or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["_head", "_hash", "norm", "_rank"]
     dealt = rows.repartitionByRange(n, "_head", "_hash", "_rank").sortWithinPartitions(*order)
-    runs = materialise(dealt.select("doc_id", "norm").mapInArrow(_runs, "doc_id long, text_sha256 string, head_id long, part long, run long, run_size long, open boolean"), "exact")
+    runs = materialise(dealt.select("doc_id", "norm").mapInArrow(tidy(_runs), "doc_id long, text_sha256 string, head_id long, part long, run long, run_size long, open boolean"), "exact")
     pick = F.min if keep == "min" else F.max
     ends = runs.where("open").select("text_sha256", "head_id", "run_size", "part", "run").distinct()
     ends = ends.groupBy("text_sha256").agg(pick("head_id").alias("all_head"), F.sum("run_size").alias("all_size"))

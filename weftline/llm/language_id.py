@@ -25,7 +25,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices
+from .common import mix, slices, tidy
 
 ORDER = 4
 PAD = ORDER - 1
@@ -256,7 +256,7 @@ def fit(train: DataFrame, max_grams: int = 200_000, calibration_rows: int = 4_00
     """Model from columns doc_id, text, lang. All rows are counted; the rejection limits
     are read from a sample by identifier hash of about ``calibration_rows`` rows."""
     rows = train.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    counts = rows.select("text", "lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.select("text", "lang").mapInArrow(tidy(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = counts.persist()
     histogram = counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("types")).toPandas()
     floors = {}
@@ -272,7 +272,7 @@ def fit(train: DataFrame, max_grams: int = 200_000, calibration_rows: int = 4_00
         spark = train.sparkSession
         share = min(1 << 30, -(-(calibration_rows << 30) // max(1, rows.count())))
         sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
-        seen = sample.select("doc_id", "text").mapInArrow(_predict(spark.sparkContext.broadcast(model), 0.0, True), _OUT).where("n_symbols > 0").toPandas()
+        seen = sample.select("doc_id", "text").mapInArrow(tidy(_predict(spark.sparkContext.broadcast(model), 0.0, True)), _OUT).where("n_symbols > 0").toPandas()
         for lang, part in seen.groupby("lang_pred"):
             n, h = part["n_symbols"].to_numpy(float), part["entropy"].to_numpy()
             mean = np.average(h, weights=n)
@@ -284,7 +284,7 @@ def fit(train: DataFrame, max_grams: int = 200_000, calibration_rows: int = 4_00
 def predict(df: DataFrame, model: Model, z: float = 8.0) -> DataFrame:
     """doc_id, lang_pred, score, rejected, entropy, n_symbols for each row."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_predict(shared, z, True), _OUT)
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(_predict(shared, z, True)), _OUT)
 
 
 def accepted(df: DataFrame, model: Model, z: float = 8.0) -> DataFrame:
@@ -299,4 +299,4 @@ def accepted(df: DataFrame, model: Model, z: float = 8.0) -> DataFrame:
             keep = pa.concat_arrays([pa.compute.invert(b.column("rejected")) for b in judge(iter([plain]))] or [pa.array([], pa.bool_())])
             yield batch.filter(keep)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL, _byte_table, documents_only, materialise, mix, ranges_hash, slices, without, words
+from .common import SMALL, _byte_table, documents_only, materialise, mix, ranges_hash, slices, tidy, without, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 26, 5
@@ -123,7 +123,7 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """a, b, similarity, size (of b), common of pairs; each side's text joins by its identifier."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_compared, "a long, b long, similarity double, size int, common int")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(tidy(_compared), "a long, b long, similarity double, size int, common int")
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +137,7 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def common_shingles(texts: DataFrame) -> DataFrame:
     """doc and shared: its shingles that another of these texts has too, rarest first."""
-    every = materialise(texts.mapInArrow(_exploded, "doc long, x long"), "shingles")
+    every = materialise(texts.mapInArrow(tidy(_exploded), "doc long, x long"), "shingles")
     again = every.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = F.array_sort(F.collect_list(F.struct("n", "x")))
     return every.join(again, "x").groupBy("doc").agg(F.transform(rows, lambda r: r["x"]).alias("shared"))
@@ -230,7 +230,7 @@ def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similarity: fl
     Buckets of at most ``few`` members (in the first turn, later) are compared pair by pair between
     components, larger ones as stars for ``turns`` turns; what is open then is compared pair by pair."""
     text = documents_only(docs)
-    sig = materialise(text.mapInArrow(_signatures(bands, rows), "doc_id long, s1 long, s2 long, size int, bands array<long>"), "signatures")
+    sig = materialise(text.mapInArrow(tidy(_signatures(bands, rows)), "doc_id long, s1 long, s2 long, size int, bands array<long>"), "signatures")
     scale = _Scale(sig.count())
     classes = sig.where("size > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
     classes = scale.write(classes, "classes")

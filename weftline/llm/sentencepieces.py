@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import tidy
+
 SPACE = "▁".encode()
 
 
@@ -162,4 +164,4 @@ def encode(df: DataFrame, model: str, text_col: str = "text", chunk: int = 256)
                 yield pa.RecordBatch.from_arrays([*part.columns, flat([np.asarray(x, np.int32) for x in ids]), flat(starts), flat(ends), pa.array(decoded, pa.string())], names=[*names, "ids", "starts", "ends", "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
-    return frame.mapInArrow(run, f"{fields}, ids array<int>, starts array<int>, ends array<int>, decoded string")
+    return frame.mapInArrow(tidy(run), f"{fields}, ids array<int>, starts array<int>, ends array<int>, decoded string")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents_only, grams, materialise, ranges_hash, slices, word_hashes, words
+from .common import documents_only, grams, materialise, ranges_hash, slices, tidy, word_hashes, words
 
 WIDTH, GRAM = 35, 8
 _SLICE = 1 << 19  # keeps a worker's arrays to a few tens of MB
@@ -162,7 +162,7 @@ class FingerprintIndex:
 
     def anchors(self, docs: DataFrame) -> DataFrame:
         """fp, zone, doc_id, start and size of every minimiser of a batch."""
-        return documents_only(docs).mapInArrow(_anchors(self.width, self.gram), "fp long, zone long, doc_id long, start int, size int")
+        return documents_only(docs).mapInArrow(tidy(_anchors(self.width, self.gram)), "fp long, zone long, doc_id long, start int, size int")
 
     def append(self, anchors: DataFrame) -> str:
         """Add a batch's fingerprints as a new run."""
@@ -218,7 +218,7 @@ def repeated_zones(docs: DataFrame, anchors: DataFrame, repeated: DataFrame, wid
     contents = materialise(contents.select("zone", "n", "z.*").repartition(files), "zones")
     copied = again.where("mixed").join(contents.where("n > 1").select("zone"), "zone", "left_semi").select("doc_id", "start", "size")
     near = contents.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size", "n")).alias("zones"))
-    near = documents_only(docs).join(near, "doc_id").mapInArrow(_zone_windows(width), "w1 long, w2 int, doc_id long, start int, alone boolean")
+    near = documents_only(docs).join(near, "doc_id").mapInArrow(tidy(_zone_windows(width)), "w1 long, w2 int, doc_id long, start int, alone boolean")
     near = materialise(near.repartition(files), "windows")
     twice = near.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m"), F.bool_or("alone").alias("some")).where("m > 1 and some").select("w1", "w2")
     single = near.where("alone").join(twice, ["w1", "w2"], "left_semi").select("doc_id", "start", F.lit(1).alias("size"))
@@ -237,4 +237,4 @@ def remove_repeats(docs: DataFrame, batches: int = 2, width: int = WIDTH, gram:
         index.append(anchors.where(part == i))
     zones = materialise(repeated_zones(docs, anchors, index.repeated(), width, index.buckets).repartition(index.buckets), "starts")
     index.drop()
-    return documents_only(docs).join(zones, "doc_id", "left").mapInArrow(_removed(width), "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+    return documents_only(docs).join(zones, "doc_id", "left").mapInArrow(tidy(_removed(width)), "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
