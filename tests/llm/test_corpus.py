@@ -262,8 +262,7 @@ def test_sentencepieces(spark, docs):
                     assert t.encode()[a:b].decode().strip() == library.id_to_piece(piece).replace("▁", " ").strip()
 
 
-def test_character_map_longest_prefix():
-    """A small Darts array written by hand: 'a' -> 'x', 'ab' -> 'y'."""
+def test_empty_character_map():
     e = sentencepieces.CharacterMap(b"")
     assert e.units == [] and e.strings == b""
 
