@@ -221,6 +221,8 @@ class Model:
 
 
 TEMPERATURE = 12.0
+#: A text is never rejected within so many nats of its language's mean: training texts look better than others under a small model.
+MARGIN = 1.5
 
 
 def _predict(model: Model, z: float, with_entropy: bool):
@@ -234,7 +236,7 @@ def _predict(model: Model, z: float, with_entropy: bool):
                     low = h[np.arange(len(h)), best]
                     score = 1 / np.exp(-TEMPERATURE * (h - low[:, None])).sum(1)
                     limits = np.array([m.limits.get(x, (np.inf, 0, 0)) for x in m.langs])[best]
-                    rejected = (n == 0) | (low > limits[:, 0] + z * (limits[:, 1] + limits[:, 2] / np.sqrt(np.maximum(n, 1))))
+                    rejected = (n == 0) | (low > limits[:, 0] + np.maximum(MARGIN, z * (limits[:, 1] + limits[:, 2] / np.sqrt(np.maximum(n, 1)))))
                     langs = np.where(n == 0, UNKNOWN, np.asarray(m.langs, object)[best])
                 else:
                     low, score, rejected, langs = np.zeros(len(n)), np.zeros(len(n)), np.ones(len(n), bool), np.full(len(n), UNKNOWN, object)
