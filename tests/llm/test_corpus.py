@@ -132,6 +132,19 @@ def test_near_groups_of_a_family(spark):
     assert {r["doc_id"]: r["group_id"] for r in near_dedup.groups(df, few=(4, 6)).collect()} == want
 
 
+def test_near_groups_of_repeated_lines(spark):
+    """A line that one copy holds many times: equal distinct shingles but for a few, very unequal counts."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(8):
+        base, line = words(rng, 200), words(rng, 12)
+        rows += [(10 * i + k, " ".join(base + line * n)) for k, n in enumerate((1, 101))]
+    want = brute_groups(rows)
+    assert len(set(want.values())) == 8
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["group_id"] for r in near_dedup.groups(df).collect()} == want
+
+
 def test_probminhash_estimates_similarity():
     rng = np.random.default_rng(0)
     a = rng.integers(1, 2**49, 400).astype(np.uint64)

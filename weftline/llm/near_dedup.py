@@ -5,7 +5,8 @@ weighted by how often they occur. Each element is a Poisson process whose rate i
 arrivals fall into random registers, a register keeps the element that arrived first, and an element
 stops as soon as its next arrival is later than every register of its text. Two texts agree in a
 register with the probability Jaccard similarity of their weighted shingles. Runs of registers are
-hashed into bands; texts that share a band are candidates.
+hashed into bands; texts that share a band are candidates. Links are defined on distinct shingles, so
+every text is banded with all weights 1 as well: a passage that one of two texts repeats does not part them.
 
 Texts with the same set of shingles are one class, and only one text of a class goes on. A bucket of
 a few candidates is compared pair by pair; a larger one is linked as a star around its densest member
@@ -77,6 +78,15 @@ def probminhash(element: np.ndarray, weight: np.ndarray, own: np.ndarray, texts:
     return first.reshape(texts, registers)
 
 
+def _band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """texts x bands: hash of each band's number and registers."""
+    sig = sig.reshape(len(sig), bands, rows)
+    keys = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * _G1
+    for r in range(rows):
+        keys = mix(keys + sig[:, :, r] * _G2)
+    return keys
+
+
 def _signatures(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = np.uint64((1 << _ROOM) - 1)
@@ -93,11 +103,15 @@ def _signatures(bands: int, rows: int):
                 for x in (element, mix(element + _G2)):
                     c = np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)])
                     sums.append(c[edge[1:]] - c[edge[:-1]])
-                sig = probminhash(element, weight.astype(float), own, n, bands * rows).reshape(n, bands, rows)
-                keys = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * _G1
-                for r in range(rows):
-                    keys = mix(keys + sig[:, :, r] * _G2)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(keys.view(np.int64).ravel()))
+                keys = _band_keys(probminhash(element, np.ones(len(element)), own, n, bands * rows), bands, rows)
+                # by counts too, where a text repeats a shingle; bands that come out equal are listed once
+                again = np.unique(own[weight > 1])
+                picked = np.isin(own, again)
+                counted = keys.copy()
+                counted[again] = _band_keys(probminhash(element[picked], weight[picked].astype(float), np.searchsorted(again, own[picked]), len(again), bands * rows), bands, rows)
+                both = np.concatenate([keys, counted], 1)
+                listed = np.concatenate([np.ones(keys.shape, bool), counted != keys], 1)
+                flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(listed.sum(1))]).astype(np.int32)), pa.array(both[listed].view(np.int64)))
                 yield pa.record_batch([ids.slice(lo, n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(size.astype(np.int32)), flat], names=["doc_id", "s1", "s2", "size", "bands"])
 
     return run
