@@ -249,6 +249,21 @@ def test_decontamination(spark):
     assert {(r["doc_id"], r["item_id"]) for r in blocks} == set(hits)
 
 
+def _leaks(spark, item, *texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontaminate.matches(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    return {r["doc_id"]: (r["n_tokens"], r["exact"]) for r in found}
+
+
+def test_decontamination_with_contradicting_slots(spark):
+    item = "there were 5 red boats on the long river and later that day another 5 green boats came down the same river to the harbour"
+    changed = item.replace("another 5", "another 9")  # one of two equal numbers
+    both = item.replace("were 5", "were 7").replace("another 5", "another 9")
+    found = _leaks(spark, item, changed, both, item, "7 of 9 in 5 or 3 of 8 by 2 on 6 and 4")
+    assert set(found) == {0, 1, 2}
+    assert found[0][0] >= 23 and not found[0][1] and found[1][0] >= 20 and not found[1][1] and found[2] == (25, True)
+
+
 def test_decontamination_finds_passages(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = [re.sub(r"\s+", " ", r["text"]) for r in bench.collect()]

@@ -8,7 +8,9 @@ hashes go to the executors as sorted arrays, in blocks of a fixed size, so a ben
 is searched in as many passes; the few document windows that match are joined to the item windows.
 Matches of one document and item on one diagonal are then held to slot consistency: the slot values
 of the item must map one to one onto those of the document, so a question asked with other names or
-numbers is caught and a chance run of placeholders is not.
+numbers is caught and a chance run of placeholders is not. Where windows contradict one another, the
+consistent ones that cover most count (a greedy choice, begun at every window), and windows with the
+item's own slots always do.
 
 A document is reported for an item if matched tokens make up ``COVER`` of the item, or ``RUN`` tokens.
 
@@ -19,6 +21,7 @@ items are each reported.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,6 +132,8 @@ class _Wanted:
         return out
 
 
+_HIT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_windows", pa.int64()), ("n_tokens", pa.int64()), ("share", pa.float64()), ("exact", pa.bool_())])
+_HIT_DDL = "doc_id long, item_id long, n_windows long, n_tokens long, share double, exact boolean"
 _DDL = "id long, pos int, size int, hash long, slots array<long>, tokens int"
 
 
@@ -143,6 +148,60 @@ def _search(window: int, literals: int, sizes: list[int], shared=None):
     return run
 
 
+def _covered(found: list[dict], which) -> set[int]:
+    return {k for i in which for k in range(found[i]["pos"], found[i]["pos"] + found[i]["size"])}
+
+
+def _counted(found: list[dict]) -> list[int]:
+    """Places of the windows that count: a consistent subset that covers most, and all verbatim ones."""
+    pairs = [set(zip(x["slots"], x["d_slots"], strict=True)) for x in found]
+    verbatim = [i for i, own in enumerate(pairs) if all(a == b for a, b in own)]
+
+    def consistent(order) -> list[int]:
+        there, back, out = {}, {}, []
+        for i in order:
+            t, b = dict(pairs[i]), {y: x for x, y in pairs[i]}
+            if len(t) == len(b) == len(pairs[i]) and all(there.get(x, y) == y and back.get(y, x) == x for x, y in pairs[i]):
+                there |= t
+                back |= b
+                out.append(i)
+        return out
+
+    every = range(len(found))
+    best = consistent(every)
+    if len(best) < len(found):
+        votes = Counter(p for own in pairs for p in own)
+        rest = set(verbatim)
+        orders = [sorted(every, key=lambda i: -min((votes[p] for p in pairs[i]), default=len(found))), [*verbatim, *(i for i in every if i not in rest)]]
+        orders += [[*every[i:], *every[:i][::-1]] for i in every[1:]]
+        best = max([best, *map(consistent, orders)], key=lambda chosen: (len(_covered(found, {*chosen, *verbatim})), len(chosen)))
+    return sorted({*best, *verbatim})
+
+
+def _judged(cover: float, run: int):
+    """For each document and item, the diagonal with most covered tokens, if that is a leak."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                by: dict[int, list[dict]] = {}
+                for x in sorted(row["at"], key=lambda x: (x["diagonal"], x["pos"], x["slots"], x["d_slots"])):
+                    by.setdefault(x["diagonal"], []).append(x)
+                best = None
+                for found in by.values():
+                    chosen = _counted(found)
+                    n = len(_covered(found, chosen))
+                    if n >= cover * row["tokens"] or n >= run:
+                        here = (n, len({(found[i]["pos"], found[i]["size"]) for i in chosen}), all(found[i]["slots"] == found[i]["d_slots"] for i in chosen))
+                        best = here if best is None else max(best, here)
+                if best is not None:
+                    out.append({"doc_id": row["doc_id"], "item_id": row["item_id"], "n_windows": best[1], "n_tokens": best[0], "share": best[0] / row["tokens"], "exact": best[2]})
+            yield pa.RecordBatch.from_pylist(out, _HIT)
+
+    return judge
+
+
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, literals: int = LITERALS, cover: float = COVER, run: int = RUN, block: int = BLOCK) -> DataFrame:
     """doc_id, item_id, n_windows, n_tokens, share, exact of contaminated documents.
 
@@ -168,17 +227,9 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, literals: i
     i = item_rows.select(F.col("id").alias("item_id"), "pos", "size", "hash", "slots", "tokens")
     # checked size; beyond it an ordinary join, whose hot keys adaptive execution splits
     both = d.join(F.broadcast(i) if n_rows <= SMALL else i, "hash")
-    both = both.select("doc_id", "item_id", (F.col("d_pos") - F.col("pos")).alias("diagonal"), "pos", "size", "tokens", F.arrays_zip("slots", "d_slots").alias("pairs"))
-    group = both.groupBy("doc_id", "item_id", "diagonal", "tokens").agg(F.collect_set(F.struct("pos", "size")).alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["pos"], x["pos"] + x["size"] - 1)))))
-    one_way = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side]))) == F.size("pairs")
-    group = group.select(
-        "doc_id", "item_id", "tokens", F.size("at").alias("n_windows"), covered.alias("n_tokens"),
-        (one_way("slots") & one_way("d_slots")).alias("consistent"), F.forall("pairs", lambda p: p["slots"] == p["d_slots"]).alias("exact"),
-    )
-    hit = group.where("consistent").where((F.col("n_tokens") >= cover * F.col("tokens")) | (F.col("n_tokens") >= run))
-    best = hit.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_tokens", "n_windows", "exact", "tokens")).alias("b"))
-    return best.select("doc_id", "item_id", F.col("b.n_windows").cast("long").alias("n_windows"), F.col("b.n_tokens").cast("long").alias("n_tokens"), (F.col("b.n_tokens") / F.col("b.tokens")).alias("share"), F.col("b.exact").alias("exact"))
+    at = F.struct((F.col("d_pos") - F.col("pos")).alias("diagonal"), "pos", "size", "slots", "d_slots")
+    group = both.groupBy("doc_id", "item_id", "tokens").agg(F.collect_set(at).alias("at"))
+    return group.mapInArrow(tidy(_judged(cover, run)), _HIT_DDL)
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
