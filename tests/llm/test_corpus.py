@@ -264,6 +264,22 @@ def test_decontamination_with_contradicting_slots(spark):
     assert found[0][0] >= 23 and not found[0][1] and found[1][0] >= 20 and not found[1][1] and found[2] == (25, True)
 
 
+@pytest.mark.parametrize(
+    ("item", "near"),
+    [
+        ("12 plus 30 is 42 and 7 times 8 is 56 less 9 is 47", "12 plus 30 is 43 and 8 times 8 is 64 less 7 is 57"),
+        ("The Old Man And The Sea By Ernest Hemingway", "The Young Man And Her Cat By Agnes Miller"),
+        ("12 34 56", "12 34 57"),
+        ("Xyzzy Plugh", "Xyzzy Other"),
+        ("在这个问题中小明有十二个苹果请问他还剩下几个", "在那个题目里小红买了五本书请问她花了多少钱"),
+        ("リンゴは何個", "ミカンは何個"),
+    ],
+)
+def test_decontamination_of_verbatim_items(spark, item, near):
+    """Items whose windows hold mostly slots, short ones, and scripts without spaces."""
+    assert set(_leaks(spark, item, f"one text, {item} and more", f"前文，{item}。后文", f"one text, {near} and more")) == {0, 1}
+
+
 def test_decontamination_finds_passages(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = [re.sub(r"\s+", " ", r["text"]) for r in bench.collect()]

@@ -2,8 +2,10 @@
 
 Tokens are white-space words without leading and trailing ASCII punctuation, ASCII letters
 lower-cased. A token holding a digit becomes NUM, a unit word right after one becomes UNIT, a
-capitalised word that is not all capitals becomes NAME; every other token stays literal. Windows of
-``WINDOW`` tokens (a shorter item is one window) with enough literals are hashed. The benchmark's
+capitalised word that is not all capitals becomes NAME; every other token stays literal. In scripts
+without spaces every character is a token. Windows of ``WINDOW`` tokens (a shorter item is one window)
+with enough literals are hashed as templates; the others, and items of one or two tokens, are hashed
+as they are, so that verbatim copies are found whatever the number of slots. The benchmark's
 hashes go to the executors as sorted arrays, in blocks of a fixed size, so a benchmark of any size
 is searched in as many passes; the few document windows that match are joined to the item windows.
 Matches of one document and item on one diagonal are then held to slot consistency: the slot values
@@ -14,8 +16,7 @@ item's own slots always do.
 
 A document is reported for an item if matched tokens make up ``COVER`` of the item, or ``RUN`` tokens.
 
-Defined cases: null and empty texts on either side match nothing; items of fewer than three tokens
-or without literals are not searched; identifiers that repeat are reported once per item; equal
+Defined cases: null and empty texts on either side match nothing; identifiers that repeat are reported once per item; equal
 items are each reported.
 """
 
@@ -45,7 +46,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
-_ROW = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("size", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.int64())), ("tokens", pa.int32())])
+_ROW = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("size", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.int64())), ("tokens", pa.int32()), ("raw", pa.bool_())])
 
 
 def _hash_words(found: list[str]) -> np.ndarray:
@@ -57,9 +58,38 @@ def _hash_words(found: list[str]) -> np.ndarray:
 _UNITS = _hash_words(UNITS)
 
 
+def _lone(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, lengths) of characters of scripts without spaces: Thai to Burmese, Khmer, kana, Han."""
+    at = np.flatnonzero((data >= 0xE0) & (data <= 0xE9) | (data == 0xEF) | (data == 0xF0))
+    a, b, c = data[at], data[np.minimum(at + 1, len(data) - 1)], data[np.minimum(at + 2, len(data) - 1)]
+    han = (a >= 0xE3) & (a <= 0xE9) | (a == 0xEF) & (b >= 0xA4) & (b <= 0xAB)
+    thai = (a == 0xE0) & (b >= 0xB8) & (b <= 0xBB) | (a == 0xE1) & ((b == 0x80) | (b == 0x81) | (b == 0x82) & (c < 0xA0) | (b == 0x9E) | (b == 0x9F))
+    full = (a == 0xEF) & ((b == 0xBC) | (b == 0xBD))  # full-width marks between them
+    wide = (a == 0xF0) & (b >= 0xA0) & (b <= 0xB3)
+    keep = han | thai | full | wide
+    return at[keep], np.where(wide[keep], 4, 3)
+
+
+def _split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words, cut around each character of a script without spaces; ideographic punctuation is left out."""
+    starts, ends, _ = words(data, offsets)
+    lone, size = _lone(data)
+    if not len(lone) or not len(starts):
+        return starts, ends
+    end = ends[np.searchsorted(starts, lone, "right") - 1]
+    after = lone + size
+    new = np.unique(np.concatenate([starts, lone, after[after < end]]))
+    end = np.minimum(np.append(new[1:], len(data)), ends[np.searchsorted(starts, new, "right") - 1])
+    b, c = data[np.minimum(new + 1, len(data) - 1)], data[np.minimum(new + 2, len(data) - 1)]
+    mark = (data[new] == 0xE3) & (b == 0x80) & ((c < 0x85) | (c > 0x87))
+    mark |= (data[new] == 0xEF) & (b == 0xBC) & ((c <= 0x8F) | (c >= 0x9A) & (c <= 0xA0) | (c >= 0xBB))
+    return new[~mark], end[~mark]
+
+
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(literal hash, slot type or 0, first token of each text)."""
-    starts, ends, first = words(data, offsets)
+    starts, ends = _split(data, offsets)
+    first = np.searchsorted(starts, offsets)
     solid = np.flatnonzero(~_PUNCT[data])
     if not len(starts) or not len(solid):
         return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(len(offsets), np.int64)
@@ -89,31 +119,38 @@ def _coded(hashes: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return np.where(kind > 0, mix(kind.astype(np.uint64)), hashes)
 
 
-def _rows(ids: np.ndarray, doc: np.ndarray, pos: np.ndarray, at: np.ndarray, size: np.ndarray, hashed: np.ndarray, hashes: np.ndarray, kind: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-    slots = [hashes[a : a + n][kind[a : a + n] > 0].view(np.int64) for a, n in zip(at, size, strict=True)]
-    return pa.record_batch([pa.array(ids[doc]), pa.array(pos.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(hashed.view(np.int64)), pa.array([s.tolist() for s in slots], pa.list_(pa.int64())), pa.array(count[doc].astype(np.int32))], schema=_ROW)
+def _rows(ids: np.ndarray, doc: np.ndarray, pos: np.ndarray, at: np.ndarray, size: int, hashed: np.ndarray, hashes: np.ndarray, kind: np.ndarray, count: np.ndarray, raw: bool) -> pa.RecordBatch:
+    slots = [[] if raw else hashes[a : a + size][kind[a : a + size] > 0].view(np.int64).tolist() for a in at]
+    return pa.record_batch([pa.array(ids[doc]), pa.array(pos.astype(np.int32)), pa.array(np.full(len(at), size, np.int32)), pa.array(hashed.view(np.int64)), pa.array(slots, pa.list_(pa.int64())), pa.array(count[doc].astype(np.int32)), pa.array(np.full(len(at), raw))], schema=_ROW)
 
 
-def windows(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, window: int, literals: int, sizes: list[int], wanted=None) -> Iterator[pa.RecordBatch]:
-    """All windows of ``sizes`` tokens; ``window`` for texts that long, else (items only) the whole text.
+def windows(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, window: int, literals: int, sizes: list[tuple[int, bool]], wanted=None) -> Iterator[pa.RecordBatch]:
+    """All windows of ``sizes`` (tokens, whether hashed as they are); ``window`` for texts that long, else (items only) the whole text.
 
-    ``wanted`` filters hashes; None keeps them all and takes short texts whole."""
+    Items have each window once: as it is if it is short of literals or of under three tokens, else as a
+    template. ``wanted`` filters hashes; None keeps them all and takes short texts whole."""
     hashes, kind, first = tokens(data, offsets)
     if not len(hashes):
         return
     code, count = _coded(hashes, kind), np.diff(first)
     doc = np.repeat(np.arange(len(count)), count)
     fixed = np.concatenate([[0], np.cumsum(kind > 0)])
-    for size in sizes:
+    for size, raw in sizes:
         if size > len(code):
             continue
-        h = grams(code, size)
+        h = grams(hashes, size, 1) if raw else grams(code, size)
         at = np.arange(len(h))
-        ok = (doc[at] == doc[at + size - 1]) & (size - (fixed[at + size] - fixed[at]) >= min(literals, size - 1))
+        ok = doc[at] == doc[at + size - 1]
+        if wanted is None or not raw:
+            enough = (size - (fixed[at + size] - fixed[at]) >= min(literals, size - 1)) & (size > 2)
+            ok &= ~enough if raw else enough
         ok &= wanted(h) if wanted is not None else (size == window) | (count[doc[at]] == size)
         at = np.flatnonzero(ok)
+        if size < 3 and len(at):  # the whole of an item: one place in a text is enough
+            pairs = np.stack([doc[at].astype(np.uint64), h[at]], 1)
+            at = at[np.sort(np.unique(pairs, axis=0, return_index=True)[1])]
         if len(at):
-            yield _rows(ids, doc[at], at - first[doc[at]], at, np.full(len(at), size), h[at], hashes, kind, count)
+            yield _rows(ids, doc[at], at - first[doc[at]], at, size, h[at], hashes, kind, count, raw)
 
 
 class _Wanted:
@@ -134,10 +171,10 @@ class _Wanted:
 
 _HIT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_windows", pa.int64()), ("n_tokens", pa.int64()), ("share", pa.float64()), ("exact", pa.bool_())])
 _HIT_DDL = "doc_id long, item_id long, n_windows long, n_tokens long, share double, exact boolean"
-_DDL = "id long, pos int, size int, hash long, slots array<long>, tokens int"
+_DDL = "id long, pos int, size int, hash long, slots array<long>, tokens int, raw boolean"
 
 
-def _search(window: int, literals: int, sizes: list[int], shared=None):
+def _search(window: int, literals: int, sizes: list[tuple[int, bool]], shared=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = None if shared is None else shared.value
         for batch in batches:
@@ -208,10 +245,10 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, literals: i
     ``docs`` has doc_id and text, ``items`` item_id and text."""
     spark = docs.sparkSession
     side = items.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    sizes = [*range(3, window + 1)]
+    sizes = [(n, raw) for n in range(1, window + 1) for raw in (False, True)]
     item_rows = materialise(side.mapInArrow(tidy(_search(window, literals, sizes)), _DDL), "items")
     n_rows = item_rows.count()
-    used = sorted(r["size"] for r in item_rows.select("size").distinct().collect())  # at most ``window`` values
+    used = sorted((r["size"], r["raw"]) for r in item_rows.select("size", "raw").distinct().collect())  # at most twice ``window`` values
     text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     parts = max(1, -(-n_rows // block))
     found = None
