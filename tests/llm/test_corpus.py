@@ -280,6 +280,16 @@ def test_decontamination_of_verbatim_items(spark, item, near):
     assert set(_leaks(spark, item, f"one text, {item} and more", f"前文，{item}。后文", f"one text, {near} and more")) == {0, 1}
 
 
+def test_decontamination_across_inserted_words(spark):
+    """Words put into or taken out of a short item: its parts lie on several diagonals, none of them enough."""
+    w = [f"w{i}" + "abcdefghijklmnopqrstuvwxyz"[i] for i in range(20)]
+    w = ["".join(c for c in x if not c.isdigit()) * 2 for x in w]
+    put, taken = [*w[:10], "extra", *w[10:]], [*w[:10], *w[11:]]
+    far = [*w[:10], *["other"] * 200, *w[10:]]
+    found = _leaks(spark, " ".join(w), *(" ".join(["intro", *x, "outro"]) for x in (put, taken, far)))
+    assert found == {0: (20, False), 1: (19, False)}
+
+
 def test_decontamination_finds_passages(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = [re.sub(r"\s+", " ", r["text"]) for r in bench.collect()]

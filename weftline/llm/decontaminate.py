@@ -14,7 +14,9 @@ numbers is caught and a chance run of placeholders is not. Where windows contrad
 consistent ones that cover most count (a greedy choice, begun at every window), and windows with the
 item's own slots always do.
 
-A document is reported for an item if matched tokens make up ``COVER`` of the item, or ``RUN`` tokens.
+A document is reported for an item if one diagonal matches ``RUN`` tokens, or diagonals near one another
+match ``COVER`` of the item: words put in or taken out, up to half as many as the item has (or ``WINDOW``),
+shift the rest of a passage to other diagonals.
 
 Defined cases: null and empty texts on either side match nothing; identifiers that repeat are reported once per item; equal
 items are each reported.
@@ -215,23 +217,34 @@ def _counted(found: list[dict]) -> list[int]:
     return sorted({*best, *verbatim})
 
 
-def _judged(cover: float, run: int):
-    """For each document and item, the diagonal with most covered tokens, if that is a leak."""
+def _judged(window: int, cover: float, run: int):
+    """For each document and item, the passage with most covered tokens, if that is a leak."""
+
+    def best_of(found: list[dict], least: float) -> tuple[int, int, bool] | None:
+        if len(_covered(found, range(len(found)))) < least:
+            return None
+        chosen = _counted(found)
+        n = len(_covered(found, chosen))
+        exact = len({found[i]["diagonal"] for i in chosen}) == 1 and all(found[i]["slots"] == found[i]["d_slots"] for i in chosen)
+        return (n, len({(found[i]["pos"], found[i]["size"]) for i in chosen}), exact) if n >= least else None
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
+            for row in (r for lo in range(0, batch.num_rows, 256) for r in batch.slice(lo, 256).to_pylist()):
                 by: dict[int, list[dict]] = {}
                 for x in sorted(row["at"], key=lambda x: (x["diagonal"], x["pos"], x["slots"], x["d_slots"])):
                     by.setdefault(x["diagonal"], []).append(x)
-                best = None
-                for found in by.values():
-                    chosen = _counted(found)
-                    n = len(_covered(found, chosen))
-                    if n >= cover * row["tokens"] or n >= run:
-                        here = (n, len({(found[i]["pos"], found[i]["size"]) for i in chosen}), all(found[i]["slots"] == found[i]["d_slots"] for i in chosen))
-                        best = here if best is None else max(best, here)
+                share = cover * row["tokens"]
+                span = max(window, row["tokens"] // 2)
+                places = sorted(by)
+                hits = [best_of(found, min(share, run)) for found in by.values()]
+                end = 0
+                for i, low in enumerate(places):
+                    before, end = end, int(np.searchsorted(places, low + span, "right"))
+                    if end > max(before, i + 1):  # more than the last stretch held
+                        hits.append(best_of([x for p in places[i:end] for x in by[p]], share))
+                best = max((h for h in hits if h is not None), default=None)
                 if best is not None:
                     out.append({"doc_id": row["doc_id"], "item_id": row["item_id"], "n_windows": best[1], "n_tokens": best[0], "share": best[0] / row["tokens"], "exact": best[2]})
             yield pa.RecordBatch.from_pylist(out, _HIT)
@@ -266,7 +279,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, literals: i
     both = d.join(F.broadcast(i) if n_rows <= SMALL else i, "hash")
     at = F.struct((F.col("d_pos") - F.col("pos")).alias("diagonal"), "pos", "size", "slots", "d_slots")
     group = both.groupBy("doc_id", "item_id", "tokens").agg(F.collect_set(at).alias("at"))
-    return group.mapInArrow(tidy(_judged(cover, run)), _HIT_DDL)
+    return group.mapInArrow(tidy(_judged(window, cover, run)), _HIT_DDL)
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
