@@ -221,6 +221,19 @@ def test_language(spark, docs):
     assert {r["lang_pred"] for r in language_id.predict(strange, none).collect()} == {"und"}
 
 
+def test_language_counts_everything(spark):
+    """Every four-gram reaches the model, however many there are: 260,000 once each, three of them often."""
+    rng = np.random.default_rng(5)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x9F00, 260_000))) + "abab" * 9
+    data = np.frombuffer(text.encode(), np.uint8)
+    want, n = np.unique(language_id._keys(language_id._symbols(data, np.array([0, len(data)]))[0]), return_counts=True)
+    df = spark.createDataFrame([(1, text, "a"), (2, "some words", "b")], "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    assert model.langs == ["a", "b"] and len(model.parts[0].levels[0][1]) == len(want) > 200_000
+    counted = language_id.KneserNey(want, n)
+    assert np.allclose(model.parts[0].logp(want[::97]), counted.logp(want[::97]))
+
+
 def test_quality_and_toxicity(spark, docs):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     both = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

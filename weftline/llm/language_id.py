@@ -3,8 +3,7 @@
 Characters are lower-cased one by one; whatever is no letter or mark becomes one space. Four-grams
 are counted over every training text on the executors; the highest order's counts are all that
 Kneser-Ney needs, since lower orders use the number of distinct left neighbours. The driver gets one
-row per (language, four-gram), at most ``max_grams`` for each language: where there are more, the
-rarest counts are left out at a threshold found from the histogram of counts. Models live in arrays
+row per (language, four-gram), all of them, language by language. Models live in arrays
 sorted by hash with a bucket index. A text goes to the language of the lowest cross-entropy per
 character; it is rejected if that entropy lies beyond what training texts of its length show.
 
@@ -19,7 +18,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
@@ -182,14 +180,13 @@ class KneserNey:
 class Model:
     """All languages; ``limits`` holds (mean, spread at any length, spread of one character) of each."""
 
-    def __init__(self, grams: pd.DataFrame):
-        self.langs = sorted(grams["lang"].unique())
+    def __init__(self, grams: dict[str, tuple[np.ndarray, np.ndarray]]):
+        self.langs = sorted(grams)
         self.parts, every = [], [np.zeros(0, np.uint64)]
         for lang in self.langs:
-            own = grams[grams["lang"] == lang]
-            keys = own["gram"].to_numpy(np.int64).view(np.uint64)
+            keys, n = grams[lang][0].astype(np.int64).view(np.uint64), grams[lang][1]
             order = np.argsort(keys)
-            self.parts.append(KneserNey(keys[order], own["n"].to_numpy()[order]))
+            self.parts.append(KneserNey(keys[order], n[order]))
             every.append(keys)
         union = np.unique(np.concatenate(every))
         self.table = _Sorted(union)
@@ -254,21 +251,22 @@ def fold_of(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
-def fit(train: DataFrame, max_grams: int = 200_000, calibration_rows: int = 4_000) -> Model:
+def _grams(counts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Four-grams and counts of each language, numbers only and a language at a time."""
+    out = {}
+    for row in counts.select("lang").distinct().sort("lang").collect():
+        own = counts.where(F.col("lang") == row["lang"]).select("gram", "n").toArrow()
+        out[row["lang"]] = tuple(own.column(c).to_numpy() for c in ("gram", "n"))
+    return out
+
+
+def fit(train: DataFrame, calibration_rows: int = 4_000) -> Model:
     """Model from columns doc_id, text, lang. All rows are counted; the rejection limits
     are read from a sample by identifier hash of about ``calibration_rows`` rows."""
     rows = train.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     counts = rows.select("text", "lang").mapInArrow(tidy(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = counts.persist()
-    histogram = counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("types")).toPandas()
-    floors = {}
-    for lang, part in histogram.sort_values("n", ascending=False).groupby("lang"):
-        if (over := part["types"].cumsum() > max_grams).any():
-            floors[lang] = int(part["n"][over].iloc[0]) + 1
-    kept = counts
-    for lang, floor in floors.items():
-        kept = kept.where((F.col("lang") != lang) | (F.col("n") >= floor))
-    model = Model(kept.toPandas())
+    model = Model(_grams(counts))
     counts.unpersist()
     if model.langs:
         spark = train.sparkSession
