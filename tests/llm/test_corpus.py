@@ -221,6 +221,16 @@ def test_language(spark, docs):
     assert {r["lang_pred"] for r in language_id.predict(strange, none).collect()} == {"und"}
 
 
+def test_letters():
+    """Emoji, digits and marks of any plane are no letters; astral letters and Han are."""
+    texts = ["😀😀", "𝟙𝟚", "\u0301", "123 !?", "", "a😀b", "𐌰𐌱", "漢字", "e\u0301"]
+    blob = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(b) for b in blob])])
+    sym = language_id._symbols(np.frombuffer("ab c".encode(), np.uint8), np.array([0, 4]))[0]
+    model = language_id.Model({"en": np.unique(language_id._keys(sym), return_counts=True)})
+    assert (model.entropies(np.frombuffer(b"".join(blob), np.uint8), offsets)[1] > 0).tolist() == [False] * 5 + [True] * 4
+
+
 def test_language_counts_everything(spark):
     """Every four-gram reaches the model, however many there are: 260,000 once each, three of them often."""
     rng = np.random.default_rng(5)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
+SLICE_ROWS = 1 << 13
 _BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _GAMMA = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -69,7 +70,7 @@ def tidy(run):
 
 
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) for runs of rows holding about ``limit`` bytes; null is empty.
+    """(first row, end row, bytes, offsets) for runs of at most ``SLICE_ROWS`` rows holding about ``limit`` bytes; null is empty.
 
     A text longer than ``limit`` forms a slice of its own, whole."""
     col = batch.column(text)
@@ -85,7 +86,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
     data = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] is not None else np.zeros(0, np.uint8)
     lo = 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
+        hi = min(lo + SLICE_ROWS, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1))
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
 

@@ -7,7 +7,7 @@ row per (language, four-gram), all of them, language by language. Models live in
 sorted by hash with a bucket index. A text goes to the language of the lowest cross-entropy per
 character; it is rejected if that entropy lies beyond what training texts of its length show.
 
-Defined cases: a text that is null or has no letter gets ``und`` and score 0 and is rejected; ties go
+Defined cases: a text that is null or has no letter (digits, symbols, emoji and marks are none) gets ``und`` and score 0 and is rejected; ties go
 to the language first in alphabetical order; with no training rows every text is ``und``.
 """
 
@@ -28,6 +28,8 @@ from .common import mix, slices, tidy
 ORDER = 4
 PAD = ORDER - 1
 UNKNOWN = "und"
+#: private-use symbols from here on: so many for letters beyond 16 bits, then so many for marks
+_ASTRAL, _ASTRAL_LETTERS, _ASTRAL_MARKS = 0xE000, 0x1800, 0x100
 _LOW48 = np.uint64((1 << 48) - 1)
 _SLICE = 1 << 18  # keeps a worker's arrays to a few tens of MB
 
@@ -44,6 +46,29 @@ def _fold() -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Which symbols are letters; marks and spaces are not."""
+    out = np.array([unicodedata.category(chr(i))[0] == "L" for i in range(1 << 16)])
+    out[_ASTRAL : _ASTRAL + _ASTRAL_LETTERS] = True
+    return out
+
+
+def _astral(points: np.ndarray) -> np.ndarray:
+    """Symbols of code points beyond 16 bits: letters and marks fold into private-use symbols, which no
+    other text has, all else is a space."""
+    few, inverse = np.unique(points, return_inverse=True)
+    out = np.full(len(few), 32, np.uint16)
+    for i, p in enumerate(few.tolist()):
+        category = unicodedata.category(chr(p))[0]
+        if category == "L":
+            low = chr(p).lower()
+            out[i] = _ASTRAL + (ord(low) if len(low) == 1 else p) % _ASTRAL_LETTERS
+        elif category == "M":
+            out[i] = _ASTRAL + _ASTRAL_LETTERS + p % _ASTRAL_MARKS
+    return out[inverse]
+
+
 def _symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols with PAD spaces before each text, begin, end of each text's own symbols)."""
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
@@ -56,7 +81,7 @@ def _symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     sym = _fold()[np.minimum(points, 0xFFFF)]
     astral = points > 0xFFFF
     if astral.any():
-        sym = np.where(astral, (points % 0xD7FF + 0x400).astype(np.uint16), sym)
+        sym[astral] = _astral(points[astral])
     blank = sym == 32
     after = np.ones(len(sym), bool)
     after[1:] = blank[:-1]
@@ -197,7 +222,7 @@ class Model:
         """(texts x languages cross-entropies in nats a character, number of characters; 0: no letter)."""
         sym, begin, end = _symbols(data, offsets)
         size = end - begin
-        letters = np.concatenate([[0], np.cumsum(sym != 32)])
+        letters = np.concatenate([[0], np.cumsum(_letters()[sym])])
         size = np.where(letters[end] > letters[begin], size, 0)
         out = np.zeros((len(size), len(self.langs)))
         if not size.any() or not self.langs:
