@@ -60,6 +60,7 @@ def tidy(run):
         try:
             yield from run(batches)
         finally:
+            _POWERS.clear()
             pa.default_memory_pool().release_unused()
             try:
                 ctypes.CDLL(None).malloc_trim(0)
@@ -107,7 +108,7 @@ def _byte_table(which: int) -> np.ndarray:
 
 
 def powers(which: int, need: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse; one pair of arrays each, as long as was ever needed."""
+    """Powers of the base and of its inverse; one pair of arrays each, as long as the partition has needed."""
     found = _POWERS.get(which)
     if found is None or len(found[0]) < need:
         size = 1 << max(16, int(need).bit_length())

@@ -35,6 +35,7 @@ from .common import SMALL, _byte_table, documents_only, materialise, mix, ranges
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 26, 5
+_SLICE = 1 << 18  # keeps a worker's arrays to a few tens of MB
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _G1, _G2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -92,7 +93,7 @@ def _signatures(bands: int, rows: int):
         low = np.uint64((1 << _ROOM) - 1)
         for batch in batches:
             ids = batch.column("doc_id")
-            for lo, hi, data, offsets in slices(batch, "text", 1 << 20):
+            for lo, hi, data, offsets in slices(batch, "text", _SLICE):
                 n = hi - lo
                 key, weight = shingles(data, offsets)
                 own = (key >> np.uint64(_ROOM)).astype(np.int64)
@@ -124,7 +125,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = part.num_rows
             sides = []
             for side in ("text_a", "text_b"):
-                keys = [shingles(data, offsets)[0] + (np.uint64(at) << np.uint64(_ROOM)) for at, _, data, offsets in slices(part, side, 1 << 20)]
+                keys = [shingles(data, offsets)[0] + (np.uint64(at) << np.uint64(_ROOM)) for at, _, data, offsets in slices(part, side, _SLICE)]
                 sides.append(np.concatenate(keys) if keys else np.zeros(0, np.uint64))
             tally = lambda k: np.bincount((k >> np.uint64(_ROOM)).astype(np.int64), minlength=n)
             both = np.sort(np.concatenate(sides))
@@ -144,7 +145,7 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     low = np.uint64((1 << _ROOM) - 1)
     for batch in batches:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        for lo, hi, data, offsets in slices(batch, "text", 1 << 20):
+        for lo, hi, data, offsets in slices(batch, "text", _SLICE):
             key, _ = shingles(data, offsets)
             yield pa.record_batch([pa.array(ids[lo:hi][(key >> np.uint64(_ROOM)).astype(np.int64)]), pa.array((key & low).astype(np.int64))], names=["doc", "x"])
 
