@@ -74,6 +74,9 @@ def test_code(value):
     assert value(code.import_of(L("import * as fs from 'fs'")))["items"] == ["* as * as fs"]
     assert value(code.resolve_import(L("src/a.ts"), L("./b"))) == "src/./b"
     assert value(code.resolve_import(L("src/a.ts"), L("./b"), "fixed")) == "src/b.ts"
+    assert value(code.resolve_import(L("/".join("abcdefghijkl") + "/x.ts"), L("../" * 11 + "b"), "fixed")) == "a/b.ts"
+    assert value(code.resolve_import(L("src/a.ts"), L("../../.././b/../c.js"), "fixed")) == "../../c.js"
+    assert value(code.resolve_import(L("a.ts"), L("./b"), "fixed")) == "b.ts"
     assert value(code.tested_file(L("src/a.test.ts"))) == "src/a.ts"
     assert value(code.export_of(L("export default class Foo")))["name"] == "class"
     assert value(code.export_of(L("export const bar = 1")))["name"] == "bar"

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import crossref, diff, ordered, relational, render, review, state, tree
+from weftline.operators import crossref, diff, metrics, ordered, relational, render, review, state, tree
 from weftline.sources import readers
 
 PATCH = "\n".join(["diff --git a b", "+++ b/x", "@@ -1,2 +1,3 @@ function foo", " a", "-b", "+c", "+d", "@@ -5 +7 @@", " z"])
@@ -84,6 +84,31 @@ def test_tree(spark):
     assert tree.levels(loop).count() == 1
 
 
+def test_deep_tree(spark):
+    """No limit of depth; a cycle that a root leads to is an error."""
+    chain = [(str(i), None if i == 0 else str(i - 1), 1) for i in range(40)]
+    deep = spark.createDataFrame(chain, "id string, parent_id string, ordinal int")
+    assert {(r["id"], r["depth"]) for r in tree.levels(deep).collect()} == {(str(i), i) for i in range(40)}
+    roots = spark.createDataFrame([("0", "0")], "id string, name string")
+    shape = "id string, should_expand boolean, children array<struct<id: string, name: string>>"
+    for n in (15, 16, 35):
+        plan = spark.createDataFrame([(str(i), True, [(str(i + 1), "x")]) for i in range(n)], shape)
+        assert {(r["id"], r["depth"]) for r in tree.expand(roots, plan).collect()} == {(str(i), i) for i in range(n + 1)}
+    with pytest.raises(ValueError, match="cycle"):
+        tree.expand(roots, spark.createDataFrame([("0", True, [("0", "again")])], shape))
+    with pytest.raises(ValueError, match="cycle"):
+        tree.levels(spark.createDataFrame([("a", None, 1), ("b", "a", 1), ("b", "c", 1), ("c", "b", 1)], "id string, parent_id string, ordinal int"))
+
+
+def test_shares_of_nothing(spark):
+    """A total of 0 gives NaN, and that is no bottleneck."""
+    spans = spark.createDataFrame([("p", 0), ("p", 0), ("q", 3), ("q", 1)], "parent string, ms int")
+    got = [(r["parent"], str(r["share"]), r["bottleneck"]) for r in metrics.stage_shares(spans, "parent", "ms").collect()]
+    assert sorted(got) == [("p", "nan", False), ("p", "nan", False), ("q", "0.25", False), ("q", "0.75", True)]
+    shares = spans.select(ordered.share_of_parent(spans, ["parent"], "ms").alias("s")).collect()
+    assert sorted(str(r["s"]) for r in shares) == ["0.25", "0.75", "nan", "nan"]
+
+
 def test_crossref(spark):
     refs = spark.createDataFrame([("a", "b", "uses", "", True, 0), ("a", "b", "uses", "", True, 1), ("a", "c", "modifies", "", True, 2)], "src string, dst string, relationship string, context string, bidirectional boolean, ord int")
     best = crossref.optimised(refs, 1).collect()

@@ -57,16 +57,18 @@ def symbols(line: Column) -> Column:
 
 
 def resolve_import(path: Column, module: Column, mode: str = "faithful") -> Column:
-    """Directory of ``path`` and the module. Faithful keeps './'; fixed removes './' and one level of '../'
-    at a time and adds '.ts' where the module has no extension."""
+    """Directory of ``path`` and the module. Faithful keeps './'; fixed removes './' and every '../' with
+    the folder before it and adds '.ts' where the module has no extension."""
     folder = F.when(F.contains(path, F.lit("/")), F.regexp_extract(path, r"^(.*)/[^/]*$", 1)).otherwise(F.lit(""))
     joined = F.concat(folder, F.lit("/"), module)
     if mode == "faithful":
         return F.when(F.contains(joined, F.lit(".")), joined).otherwise(F.concat(joined, F.lit(".ts")))
-    out = F.regexp_replace(joined, r"/(?:\./)+", "/")
-    for _ in range(8):
-        out = F.regexp_replace(out, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-    out = F.regexp_replace(out, r"^/", "")
+    parts = F.split(F.regexp_replace(joined, r"/(?:\./)+", "/"), "/")
+    last = F.element_at(parts, -1)
+    # a '..' takes off the folder before it, if there is one; any number of them
+    step = lambda kept, x: F.when((x == "..") & ~F.coalesce(F.try_element_at(kept, F.lit(-1)), F.lit("")).isin("", ".."), F.slice(kept, 1, F.size(kept) - 1)).otherwise(F.array_append(kept, x))
+    folders = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), F.array().cast("array<string>"), step)
+    out = F.regexp_replace(F.array_join(F.array_append(folders, last), "/"), r"^/", "")
     return F.when(out.rlike(r"\.[A-Za-z0-9]+$"), out).otherwise(F.concat(out, F.lit(".ts")))
 
 

@@ -34,9 +34,10 @@ def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:
 
 
 def overlap_coefficient(a: Column, b: Column) -> Column:
-    """Shared distinct words over the smaller distinct set."""
+    """Shared distinct words over the smaller distinct set; NaN if one is empty."""
     x, y = F.array_distinct(a), F.array_distinct(b)
-    return F.size(F.array_intersect(x, y)) / F.least(F.size(x), F.size(y))
+    least = F.least(F.size(x), F.size(y))
+    return F.when(least == 0, F.lit(float("nan"))).otherwise(F.try_divide(F.size(F.array_intersect(x, y)), least))
 
 
 def description_score(a: Column, b: Column) -> Column:

@@ -38,7 +38,7 @@ def related(nodes: DataFrame) -> DataFrame:
     pairs = token.join(other, "t").where("ord < ord2").select("id", "id2").distinct()
     n = nodes.select("id", "ord", "name", "affected_files", "context")
     both = pairs.join(n, "id").join(n.select(*[F.col(c).alias(f"{c}2") for c in n.columns]), "id2")
-    alike = sim.shares_names(F.col("name"), F.col("name2")) | sim.shares_directory(F.col("affected_files"), F.col("affected_files2")) | (sim.overlap_coefficient(sim.tokens(F.col("context")), sim.tokens(F.col("context2"))) > 0.3)
+    alike = sim.shares_names(F.col("name"), F.col("name2")) | sim.shares_directory(F.col("affected_files"), F.col("affected_files2")) | (F.nanvl(sim.overlap_coefficient(sim.tokens(F.col("context")), sim.tokens(F.col("context2"))), F.lit(0.0)) > 0.3)
     return both.where(alike).select(F.col("ord").alias("a"), F.col("ord2").alias("b"), "id", "id2")
 
 

@@ -46,8 +46,10 @@ def needs_check(*scores: Column, above: float = 0.2) -> Column:
 
 
 def stage_shares(spans: DataFrame, parent: str, ms: str, bottleneck: float = 0.7) -> DataFrame:
-    share = F.col(ms) / F.sum(ms).over(W.partitionBy(parent))
-    return spans.withColumn("share", share).withColumn("bottleneck", F.col("share") > bottleneck)
+    """Share of the parent's total; NaN where that is 0, which is no bottleneck."""
+    total = F.sum(ms).over(W.partitionBy(parent))
+    share = F.when(total == 0, F.lit(float("nan"))).otherwise(F.try_divide(F.col(ms), total))
+    return spans.withColumn("share", share).withColumn("bottleneck", (F.col("share") > bottleneck) & ~F.isnan("share"))
 
 
 def call_report(calls: DataFrame, context: str, ms: str, name: str, slow_ms: float = 5000.0) -> DataFrame:

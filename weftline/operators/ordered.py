@@ -79,4 +79,6 @@ def evicted(entries: DataFrame, order: Sequence[str], bucket: Column, size: str,
 
 
 def share_of_parent(df: DataFrame, keys: Sequence[str], value: str) -> Column:
-    return F.col(value) / F.sum(value).over(W.partitionBy(*keys))
+    """NaN where the parent's total is 0."""
+    total = F.sum(value).over(W.partitionBy(*keys))
+    return F.when(total == 0, F.lit(float("nan"))).otherwise(F.try_divide(F.col(value), total))

@@ -1,28 +1,47 @@
-"""Trees as edge tables: (id, parent_id, ord). Levels come from a frontier loop bounded by the depth."""
+"""Trees as edge tables: (id, parent_id, ord). Levels come from a frontier loop that ends with the tree."""
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .cluster import cut
+
 
 def numbered(nodes: DataFrame, order: list[Column]) -> DataFrame:
     """Adds ``ordinal``: 1-based place among the children of one parent."""
     return nodes.withColumn("ordinal", F.row_number().over(W.partitionBy("parent_id").orderBy(*order)))
 
 
-def levels(nodes: DataFrame, max_depth: int = 20) -> DataFrame:
+#: After so many levels the frontier is cut off from its lineage and the depth is held against the rows.
+CUT_EVERY = 16
+
+
+def _checked(front: DataFrame, depth: int, edges: DataFrame, what: str) -> DataFrame:
+    """``front`` from a checkpoint every ``CUT_EVERY`` levels; a path longer than the table has rows is a cycle."""
+    if depth % CUT_EVERY:
+        return front
+    front = cut(front)
+    if depth > edges.count() and not front.isEmpty():
+        raise ValueError(f"{what} run in a cycle")
+    return front
+
+
+def levels(nodes: DataFrame) -> DataFrame:
     """id, parent_id, depth (roots 0), path (dotted ordinals), sort_key (pre-order) of a forest with
-    ``ordinal``. The loop joins one frontier a level, ends with the forest and stops at ``max_depth``,
-    so a cycle cannot run on; what hangs below that depth is left out."""
+    ``ordinal``, however deep. The loop joins one frontier a level and ends with the forest. Nodes that no
+    root leads to (a closed cycle) are left out; a cycle that a root leads to, which takes an id with
+    several parents, raises ValueError."""
     front = nodes.where("parent_id IS NULL").select("id", "parent_id", F.lit(0).alias("depth"), F.col("ordinal").cast("string").alias("path"), F.lpad("ordinal", 8, "0").alias("sort_key"))
     found = [front]
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         up = front.select(F.col("id").alias("parent_id"), F.col("path").alias("_p"), F.col("sort_key").alias("_s"))
         front = nodes.join(up, "parent_id").select("id", "parent_id", F.lit(depth).alias("depth"), F.concat_ws(".", "_p", F.col("ordinal").cast("string")).alias("path"), F.concat_ws(".", "_s", F.lpad("ordinal", 8, "0")).alias("sort_key"))
+        front = _checked(front, depth, nodes, "parents")
         if front.isEmpty():
             break
         found.append(front)
@@ -57,18 +76,20 @@ def parents_for_groups(items: DataFrame, domain: str, ordinal: str, at_least: in
     return groups.withColumn("parent_id", F.when(F.col("n") >= at_least, F.concat(F.lit("parent-"), F.col(domain)))).withColumn("level", F.when(F.col("n") >= at_least, 1).otherwise(0))
 
 
-def expand(roots: DataFrame, decisions: DataFrame, max_depth: int = 20) -> DataFrame:
+def expand(roots: DataFrame, decisions: DataFrame) -> DataFrame:
     """Top-down expansion: a node whose recorded decision has children is replaced by them as its
-    children; a node without one, or with should_expand false, is a leaf.
+    children; a node without one, or with should_expand false, is a leaf. There is no limit of depth; a
+    decision that leads back to its own node raises ValueError.
 
     roots: id, name; decisions: id, should_expand, children array<struct<id, name>>."""
     front = roots.select("id", "name", F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("depth"))
     done = []
-    for depth in range(max_depth + 1):
+    for depth in count():
         asked = front.join(decisions, "id", "left")
         grows = F.coalesce(F.col("should_expand") & (F.size("children") > 0), F.lit(False))
         done.append(asked.select("id", "name", "parent_id", "depth", grows.alias("is_expanded")))
         front = asked.where(grows).select(F.col("id").alias("parent_id"), F.explode("children").alias("c")).select("c.id", "c.name", "parent_id", F.lit(depth + 1).alias("depth"))
+        front = _checked(front, depth + 1, decisions, "decisions")
         if front.isEmpty():
             break
     return reduce(DataFrame.unionByName, done)
