@@ -389,6 +389,20 @@ def test_empty_tables(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_null_identifiers(spark):
+    """Rows without identifier, beside identifiers that no double holds."""
+    big = (1 << 53) + 1
+    long = " ".join(words(random.Random(4), 60))
+    rows = [(None, long), (big, long.upper()), (None, "alone"), (None, None), (2, "b"), (2, "b"), (None, long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["keep_id"] or 0, r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(df).collect()))
+    assert got == [(0, 0, 1, True), (0, 0, 1, True), (0, big, 3, False), (0, big, 3, False), (2, 2, 2, True), (2, 2, 2, True), (big, big, 3, True)]
+    assert sorted((r["doc_id"] or 0, r["group_id"] or 0) for r in near_dedup.groups(df).collect()) == [(0, 0), (0, 0), (0, big), (0, big), (2, 2), (2, 2), (big, big)]
+    same = spark.createDataFrame([(None, long), (big, long), (2, "b")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(same).collect()}
+    assert got == {None: (60, 0), big: (60, 60), 2: (1, 0)}
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 

@@ -9,7 +9,8 @@ a partition can continue elsewhere: these (at most two rows a partition, so a ta
 number of partitions) are summed by digest and joined back.
 
 Defined cases: null and empty texts are equal; identifiers that repeat are separate rows of one
-group; an empty table gives an empty result; columns other than the identifier and text are ignored.
+group; a null identifier comes after all others, so it stays only where a group has no other, and ``deduplicate``,
+which drops by identifier, keeps rows without one; an empty table gives an empty result; columns other than the identifier and text are ignored.
 """
 
 from __future__ import annotations
@@ -39,17 +40,17 @@ def normalised(text):
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows to rows with their run; the last run of a batch is held back until it ends."""
     previous, digest, run, part = None, "", 0, TaskContext.get().partitionId()
-    held: list[np.ndarray] = []
+    held: list[pa.Array] = []
 
     def out(open_run: bool) -> pa.RecordBatch:
-        ids = np.concatenate(held)
+        ids = pa.concat_arrays(held)  # Arrow keeps null identifiers, and large ones beside them, as they are
         n = len(ids)
         return pa.record_batch(
-            [pa.array(ids), pa.array([digest] * n, pa.string()), pa.array(np.full(n, ids[0])), pa.array(np.full(n, part)), pa.array(np.full(n, run)), pa.array(np.full(n, n)), pa.array(np.full(n, open_run))], schema=_RUNS
+            [ids, pa.array([digest] * n, pa.string()), ids.take(pa.array(np.zeros(n, np.int64))), pa.array(np.full(n, part)), pa.array(np.full(n, run)), pa.array(np.full(n, n)), pa.array(np.full(n, open_run))], schema=_RUNS
         )
 
     for batch in batches:
-        ids, texts = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("norm")
+        ids, texts = batch.column("doc_id"), batch.column("norm")
         ready: list[pa.RecordBatch] = []
         lo = 0
         for i in range(len(ids)):
@@ -57,11 +58,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if previous is None or not text.equals(previous):
                 if previous is not None:
                     if i > lo:
-                        held.append(ids[lo:i])
+                        held.append(ids.slice(lo, i - lo))
                     ready.append(out(run == 0))
                     held, run, lo = [], run + 1, i
                 previous, digest = text, hashlib.sha256(text).hexdigest()
-        held.append(ids[lo:])
+        held.append(ids.slice(lo))
         if previous is not None:
             previous = pa.py_buffer(previous.to_pybytes())
         if ready:
@@ -77,7 +78,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     identifier, each counts as kept."""
     sign = 1 if keep == "min" else -1
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
-    rows = rows.select((F.coalesce("doc_id", F.lit(0)) * sign).alias("_rank"), "doc_id", F.encode("norm", "UTF-8").alias("norm"))
+    rows = rows.select(F.coalesce(F.col("doc_id") * sign, F.lit((1 << 63) - 1)).alias("_rank"), "doc_id", F.encode("norm", "UTF-8").alias("norm"))
     rows = rows.select("doc_id", "norm", "_rank", F.substring("norm", 1, PREFIX).alias("_head"), F.xxhash64("norm").alias("_hash"))
     n = partitions or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["_head", "_hash", "norm", "_rank"]

@@ -19,7 +19,8 @@ copies that differ by edits of their own share no such shingle and cost nothing
 verified by the Jaccard similarity of their distinct shingles.
 
 Defined cases: null and empty texts have no shingles and are groups of their own; repeated rows of
-one identifier count once in grouping; a group is named by its least identifier.
+one identifier count once in grouping; a row without identifier gets the group of the texts with its
+set of shingles that have one, else null; a group is named by its least identifier.
 """
 
 from __future__ import annotations
@@ -249,7 +250,7 @@ def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similarity: fl
     scale = _Scale(sig.count())
     classes = sig.where("size > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
     classes = scale.write(classes, "classes")
-    entry = classes.select(F.col("rep").alias("doc"), F.explode("bands").alias("key"))
+    entry = classes.where("rep is not null").select(F.col("rep").alias("doc"), F.explode("bands").alias("key"))
     full = entry.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     entry = scale.write(entry.join(full, "key"), "buckets")
     dense = scale.write(entry.groupBy("doc").agg(F.sum("n").alias("score")), "dense")

@@ -19,7 +19,8 @@ whose hot keys adaptive execution splits.
 
 Defined cases: null and empty texts have no words and the digest of the empty string; texts of fewer
 than ``WIDTH`` words keep everything; a window repeated inside one document is removed there;
-identifiers must be unique, as places of equal identifiers count as one document's.
+identifiers must be unique, as places of equal identifiers count as one document's. The windows of a row
+without identifier count, but it keeps all its own words, since places are joined by identifier.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ def minimisers(hashes: np.ndarray, own: np.ndarray, width: int, gram: int) -> tu
 def _anchors(width: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids = batch.column("doc_id")
             for lo, hi, data, offsets in slices(batch, "text", _SLICE):
                 starts, ends, first = words(data, offsets)
                 own = _owners(first)
@@ -82,8 +83,8 @@ def _anchors(width: int, gram: int):
                 size = np.diff(np.append(head, len(at)))
                 begin, doc = start[head], own[at[head]]
                 zone = ranges_hash(h, begin, begin + size - 1 + width, 1)
-                cols = [g[at[head]].view(np.int64), zone.view(np.int64), ids[lo:hi][doc], (begin - first[doc]).astype(np.int32), size.astype(np.int32)]
-                yield pa.record_batch([pa.array(c) for c in cols], names=["fp", "zone", "doc_id", "start", "size"])
+                cols = [g[at[head]].view(np.int64), zone.view(np.int64), ids.slice(lo, hi - lo).take(pa.array(doc)), (begin - first[doc]).astype(np.int32), size.astype(np.int32)]
+                yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=["fp", "zone", "doc_id", "start", "size"])
 
     return run
 
@@ -93,7 +94,7 @@ def _zone_windows(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids = batch.column("doc_id")
             zones = batch.column("zones")
             per, flat = zones.value_lengths().to_numpy(zero_copy_only=False), zones.flatten()
             begin, size, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
@@ -107,8 +108,8 @@ def _zone_windows(width: int):
                 doc, alone = np.repeat(doc, count), np.repeat(n[z] == 1, count)
                 one = ranges_hash(word_hashes(data, starts, ends), at, at + width, 0)
                 two = ranges_hash(word_hashes(data, starts, ends, 1), at, at + width, 1) >> np.uint64(32)
-                cols = [one.view(np.int64), two.astype(np.uint32).view(np.int32), ids[lo:hi][doc], (at - first[doc]).astype(np.int32), alone]
-                yield pa.record_batch([pa.array(c) for c in cols], names=["w1", "w2", "doc_id", "start", "alone"])
+                cols = [one.view(np.int64), two.astype(np.uint32).view(np.int32), ids.slice(lo, hi - lo).take(pa.array(doc)), (at - first[doc]).astype(np.int32), alone]
+                yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=["w1", "w2", "doc_id", "start", "alone"])
 
     return run
 
@@ -214,8 +215,8 @@ def repeated_zones(docs: DataFrame, anchors: DataFrame, repeated: DataFrame, wid
     again = anchors.join(hot, "fp").unionByName(anchors.join(hot.select("fp"), "fp", "left_anti").join(cold, "fp"))
     again = materialise(again.drop("fp").repartition(files), "again")
     whole = again.where("not mixed").select("doc_id", "start", "size")
-    contents = again.where("mixed").groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start", "size")).alias("z"))
-    contents = materialise(contents.select("zone", "n", "z.*").repartition(files), "zones")
+    contents = again.where("mixed").groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "start", "size")).alias("z"))
+    contents = materialise(contents.select("zone", "n", "z.doc_id", "z.start", "z.size").repartition(files), "zones")
     copied = again.where("mixed").join(contents.where("n > 1").select("zone"), "zone", "left_semi").select("doc_id", "start", "size")
     near = contents.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size", "n")).alias("zones"))
     near = documents_only(docs).join(near, "doc_id").mapInArrow(tidy(_zone_windows(width)), "w1 long, w2 int, doc_id long, start int, alone boolean")
