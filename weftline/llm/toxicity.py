@@ -31,8 +31,6 @@ GRAM, ENRICHED, SHARE = 5, 20.0, 0.04
 #: (dictionary with entropy tables, strategy, search log): raw or trained, double-fast or greedy
 SETTINGS = ((False, 2, 1), (False, 3, 4), (True, 3, 4))
 THRESHOLD = 0.3
-#: With so many toxic rows the dictionaries of one half are as good as those of all.
-ENOUGH = 1000
 
 
 def _windows(text: bytes) -> list[bytes]:
@@ -151,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 4_
     half = [_dictionaries([t for t, p in zip(texts, part, strict=True) if p == k], y[part == k], dictionary, seed) for k in (0, 1)]
     # features of each half come from dictionaries that it made no part of
     x = np.stack([half[1 - p].features(t) for t, p in zip(texts, part, strict=True)])
-    scorer = half[0] if (y == 1).sum() >= ENOUGH else _dictionaries(texts, y, dictionary, seed)
+    scorer = _dictionaries(texts, y, dictionary, seed)
     scorer.fit(x, y)
     return scorer
 
