@@ -43,6 +43,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/weftline/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def remove(spark: SparkSession, at: str | None) -> None:
+    """Delete a folder that ``scratch`` named and that nothing reads any more."""
+    if at:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut and a lost
     executor costs no recomputation."""

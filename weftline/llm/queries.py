@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, language_id, near_dedup, quality, secrets, sentencepieces, substring_dedup, toxicity
+from . import decontaminate, exact_dedup, html_text, language_id, near_dedup, quality, secrets, sentencepieces, substring_dedup, toxicity, vector_codes
 from .common import documents_only, table
 
 
@@ -70,6 +70,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_near_dedup": op2_near_dedup,
@@ -81,6 +85,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 ORACLES = {
@@ -109,4 +114,5 @@ SELECT d.doc_id, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS group_id FROM
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)
     """,
+    "op11_vector_codes": vector_codes.oracle(),
 }
