@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, language_id, near_dedup, quality, secrets, sentencepieces, substring_dedup, toxicity, vector_codes
+from . import decontaminate, exact_dedup, html_text, improbable, language_id, near_dedup, quality, secrets, sentencepieces, substring_dedup, toxicity, vector_codes
 from .common import documents_only, table
 
 
@@ -74,6 +74,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.encode(table(spark, sf_dir, "embeddings"))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return improbable.edited_likeness(docs, improbable.fit(docs))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_near_dedup": op2_near_dedup,
@@ -86,6 +91,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_vector_codes": op11_vector_codes,
+    "op12_fingerprints": op12_fingerprints,
 }
 
 ORACLES = {
