@@ -59,6 +59,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the executors collect garbage, so that the heap a stage has grown goes back to the system
+    before the next one's Python workers need memory beside it. A few tasks a core reach every executor."""
+    n = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def tidy(run):
     """``run`` over a partition's batches; afterwards freed memory goes back to the system, since a
     Python worker lives on for other tasks beside the executor's heap."""
