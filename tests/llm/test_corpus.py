@@ -266,7 +266,8 @@ def test_decontamination(spark):
     docs = [(1, f"Some words before. {item} And after."), (2, f"intro text here {other} outro text"), (3, mixed), (4, None), (5, ""), (6, "nothing of the kind is in this text at all, really nothing"), (7, f"noise {item[:30]}")]
     found = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
     hits = {(r["doc_id"], r["item_id"]): r["exact"] for r in found}
-    assert {d for d, _ in hits} == {1, 2}
+    # document 3 gives the first Alice another name than the last, but 23 tokens of the item stand in it as they are
+    assert {d for d, _ in hits} == {1, 2, 3} and all(r["n_tokens"] >= 23 and not r["exact"] for r in found if r["doc_id"] == 3)
     assert hits[(1, 1)] and hits[(1, 2)] and not hits[(2, 1)]
     blocks = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), items, block=3).collect()
     assert {(r["doc_id"], r["item_id"]) for r in blocks} == set(hits)

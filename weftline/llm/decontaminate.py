@@ -8,18 +8,23 @@ with enough literals are hashed as templates; the others, and items of one or tw
 as they are, so that verbatim copies are found whatever the number of slots. The benchmark's
 hashes go to the executors as sorted arrays, in blocks of a fixed size, so a benchmark of any size
 is searched in as many passes; the few document windows that match are joined to the item windows.
-Matches of one document and item on one diagonal are then held to slot consistency: the slot values
-of the item must map one to one onto those of the document, so a question asked with other names or
-numbers is caught and a chance run of placeholders is not. Where windows contradict one another, the
-consistent ones that cover most count (a greedy choice, begun at every window), and windows with the
-item's own slots always do.
-
-A document is reported for an item if one diagonal matches ``RUN`` tokens, or diagonals near one another
-match ``COVER`` of the item: words put in or taken out, up to half as many as the item has (or ``WINDOW``),
-shift the rest of a passage to other diagonals.
-
-Defined cases: null and empty texts on either side match nothing; identifiers that repeat are reported once per item; equal
-items are each reported.
+Windows with a NAME are searched as they are too, so that a copy in lower case is found. A run of
+equal windows without slots is one row with its length, and two runs meet at both their ends only.
+
+Matches are judged on one diagonal (document place less item place) of a document and item at a time: the slot values of the item
+must map one to one onto those of the document, so a question asked with other names or numbers is
+caught and a chance run of placeholders is not. Where windows contradict one another the mapping takes
+the pairs by votes or in reading order, whichever covers more; windows with the item's own slots always count.
+What is left of a diagonal are covered intervals and its mapping, so that no step holds more than an item's windows or a pair's diagonals.
+
+A document is reported for an item if one diagonal matches ``RUN`` tokens or ``COVER`` of the item, or else if
+diagonals near one another with mappings that agree match ``COVER`` of it together: words put in or taken out, up to half as
+many as the item has (or ``WINDOW``), shift the rest of a passage to other diagonals.
+
+Defined cases: null and empty texts on either side match nothing; equal items are each reported. Documents are
+told apart by identifier and text, so a null identifier stays null, ``clean`` drops just the rows that match, and rows
+that share both are reported once an item. Items without identifier or sharing one count as one. Other columns
+are ignored, or kept by ``clean``. An empty table on either side gives no matches.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _byte_table, grams, materialise, mix, ranges_hash, slices, tidy, without, words
+from .common import _byte_table, grams, materialise, mix, ranges_hash, slices, tidy, words
 
 WINDOW, LITERALS, COVER, RUN = 8, 4, 0.6, 13
 BLOCK = 2_000_000
@@ -49,7 +54,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
-_ROW = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("size", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.int64())), ("tokens", pa.int32()), ("raw", pa.bool_())])
+_ROW = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("pos", pa.int32()), ("size", pa.int32()), ("reps", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.int64())), ("tokens", pa.int32()), ("raw", pa.bool_())])
 
 
 def _hash_words(found: list[str]) -> np.ndarray:
@@ -122,22 +127,29 @@ def _coded(hashes: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return np.where(kind > 0, mix(kind.astype(np.uint64)), hashes)
 
 
-def _rows(ids: np.ndarray, doc: np.ndarray, pos: np.ndarray, at: np.ndarray, size: int, hashed: np.ndarray, hashes: np.ndarray, kind: np.ndarray, count: np.ndarray, raw: bool) -> pa.RecordBatch:
+def _rows(ids: pa.Table, doc: np.ndarray, pos: np.ndarray, at: np.ndarray, size: int, hashed: np.ndarray, hashes: np.ndarray, kind: np.ndarray, fixed: np.ndarray, count: np.ndarray, raw: bool) -> pa.RecordBatch:
+    again = np.zeros(len(at), bool)
+    again[1:] = (at[1:] == at[:-1] + 1) & (hashed[1:] == hashed[:-1]) & (raw | (fixed[at[1:] + size] == fixed[at[:-1]]))
+    head = np.flatnonzero(~again)
+    reps = np.diff(np.append(head, len(at)))
+    doc, pos, at, hashed = doc[head], pos[head], at[head], hashed[head]
     slots = [[] if raw else hashes[a : a + size][kind[a : a + size] > 0].view(np.int64).tolist() for a in at]
-    return pa.record_batch([pa.array(ids[doc]), pa.array(pos.astype(np.int32)), pa.array(np.full(len(at), size, np.int32)), pa.array(hashed.view(np.int64)), pa.array(slots, pa.list_(pa.int64())), pa.array(count[doc].astype(np.int32)), pa.array(np.full(len(at), raw))], schema=_ROW)
+    named = ids.take(pa.array(doc))
+    cols = [named.column("id"), named.column("text_hash"), pos.astype(np.int32), np.full(len(at), size, np.int32), reps.astype(np.int32), hashed.view(np.int64), pa.array(slots, pa.list_(pa.int64())), count[doc].astype(np.int32), np.full(len(at), raw)]
+    return pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], schema=_ROW)
 
 
-def windows(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, window: int, literals: int, sizes: list[tuple[int, bool]], wanted=None) -> Iterator[pa.RecordBatch]:
+def windows(ids: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, window: int, literals: int, sizes: list[tuple[int, bool]], wanted=None) -> Iterator[pa.RecordBatch]:
     """All windows of ``sizes`` (tokens, whether hashed as they are); ``window`` for texts that long, else (items only) the whole text.
 
-    Items have each window once: as it is if it is short of literals or of under three tokens, else as a
-    template. ``wanted`` filters hashes; None keeps them all and takes short texts whole."""
+    Items have each window as it is if it is short of literals, of under three tokens or holds a name, and as a
+    template unless it is short. ``wanted`` filters hashes; None keeps them all and takes short texts whole."""
     hashes, kind, first = tokens(data, offsets)
     if not len(hashes):
         return
     code, count = _coded(hashes, kind), np.diff(first)
     doc = np.repeat(np.arange(len(count)), count)
-    fixed = np.concatenate([[0], np.cumsum(kind > 0)])
+    fixed, names = (np.concatenate([[0], np.cumsum(x)]) for x in (kind > 0, kind == NAME))
     for size, raw in sizes:
         if size > len(code):
             continue
@@ -146,14 +158,14 @@ def windows(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, window: int,
         ok = doc[at] == doc[at + size - 1]
         if wanted is None or not raw:
             enough = (size - (fixed[at + size] - fixed[at]) >= min(literals, size - 1)) & (size > 2)
-            ok &= ~enough if raw else enough
+            ok &= ~enough | (names[at + size] > names[at]) if raw else enough
         ok &= wanted(h) if wanted is not None else (size == window) | (count[doc[at]] == size)
         at = np.flatnonzero(ok)
         if size < 3 and len(at):  # the whole of an item: one place in a text is enough
             pairs = np.stack([doc[at].astype(np.uint64), h[at]], 1)
             at = at[np.sort(np.unique(pairs, axis=0, return_index=True)[1])]
         if len(at):
-            yield _rows(ids, doc[at], at - first[doc[at]], at, size, h[at], hashes, kind, count, raw)
+            yield _rows(ids, doc[at], at - first[doc[at]], at, size, h[at], hashes, kind, fixed, count, raw)
 
 
 class _Wanted:
@@ -172,98 +184,140 @@ class _Wanted:
         return out
 
 
-_HIT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_windows", pa.int64()), ("n_tokens", pa.int64()), ("share", pa.float64()), ("exact", pa.bool_())])
-_HIT_DDL = "doc_id long, item_id long, n_windows long, n_tokens long, share double, exact boolean"
-_DDL = "id long, pos int, size int, hash long, slots array<long>, tokens int, raw boolean"
+_HIT = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("item_id", pa.int64()), ("n_windows", pa.int64()), ("n_tokens", pa.int64()), ("share", pa.float64()), ("exact", pa.bool_())])
+_HIT_DDL = "doc_id long, text_hash long, item_id long, n_windows long, n_tokens long, share double, exact boolean"
+_DDL = "id long, text_hash long, pos int, size int, reps int, hash long, slots array<long>, tokens int, raw boolean"
 
 
 def _search(window: int, literals: int, sizes: list[tuple[int, bool]], shared=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = None if shared is None else shared.value
         for batch in batches:
-            ids = batch.column("id").fill_null(-1).to_numpy(zero_copy_only=False)
+            ids = batch.select(["id", "text_hash"])
             for lo, hi, data, offsets in slices(batch, "text", _SLICE):
-                yield from windows(ids[lo:hi], data, offsets, window, literals, sizes, wanted)
+                yield from windows(ids.slice(lo, hi - lo), data, offsets, window, literals, sizes, wanted)
 
     return run
 
 
-def _covered(found: list[dict], which) -> set[int]:
-    return {k for i in which for k in range(found[i]["pos"], found[i]["pos"] + found[i]["size"])}
-
-
-def _counted(found: list[dict]) -> list[int]:
-    """Places of the windows that count: a consistent subset that covers most, and all verbatim ones."""
-    pairs = [set(zip(x["slots"], x["d_slots"], strict=True)) for x in found]
-    verbatim = [i for i, own in enumerate(pairs) if all(a == b for a, b in own)]
-
-    def consistent(order) -> list[int]:
-        there, back, out = {}, {}, []
-        for i in order:
-            t, b = dict(pairs[i]), {y: x for x, y in pairs[i]}
-            if len(t) == len(b) == len(pairs[i]) and all(there.get(x, y) == y and back.get(y, x) == x for x, y in pairs[i]):
-                there |= t
-                back |= b
-                out.append(i)
-        return out
-
-    every = range(len(found))
-    best = consistent(every)
-    if len(best) < len(found):
-        votes = Counter(p for own in pairs for p in own)
-        rest = set(verbatim)
-        orders = [sorted(every, key=lambda i: -min((votes[p] for p in pairs[i]), default=len(found))), [*verbatim, *(i for i in every if i not in rest)]]
-        orders += [[*every[i:], *every[:i][::-1]] for i in every[1:]]
-        best = max([best, *map(consistent, orders)], key=lambda chosen: (len(_covered(found, {*chosen, *verbatim})), len(chosen)))
-    return sorted({*best, *verbatim})
+def _length(spans: list[tuple[int, int]]) -> int:
+    """Places that the spans (from, to) cover."""
+    return sum(b - a for a, b in _merged(spans))
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _mapping(pairs) -> set[tuple[int, int]]:
+    """The pairs, taken in order, that map one to one."""
+    there, back = {}, {}
+    for a, b in pairs:
+        if there.get(a, b) == b and back.get(b, a) == a:
+            there[a], back[b] = b, a
+    return set(there.items())
+
+
+_LINE = pa.schema([("spans", pa.list_(pa.int32())), ("pairs", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("n_windows", pa.int64()), ("exact", pa.bool_())])
+_KEYS = ["doc_id", "text_hash", "item_id", "tokens", "diagonal"]
+_LINE_DDL = "doc_id long, text_hash long, item_id long, tokens int, diagonal int, spans array<int>, pairs array<long>, n_tokens long, n_windows long, exact boolean"
+
+
+def _line(found: list[dict]) -> dict:
+    """One diagonal's windows to what counts of them: spans of the item, slot pairs, tokens, windows, whether verbatim."""
+    found = sorted(found, key=lambda x: (x["pos"], x["size"], x["slots"], x["d_slots"]))
+    own = [set(zip(x["slots"], x["d_slots"], strict=True)) for x in found]
+    span = [(x["pos"], x["pos"] + x["reps"] - 1 + x["size"]) for x in found]
+    verbatim = [all(a == b for a, b in pairs) for pairs in own]
+    votes = Counter(p for pairs in own for p in pairs)
+    in_order = list(dict.fromkeys(p for x in found for p in zip(x["slots"], x["d_slots"], strict=True)))
+    best: list[int] = []
+    for order in (in_order, sorted(in_order, key=lambda p: -votes[p])):
+        held = _mapping(order)
+        chosen = [i for i in range(len(found)) if verbatim[i] or own[i] <= held]
+        if not best or _length([span[i] for i in chosen]) > _length([span[i] for i in best]):
+            best = chosen
+        if len(best) == len(found):
+            break
+    spans = _merged([span[i] for i in best])
+    pairs = sorted(set().union(*(own[i] for i in best if not verbatim[i])))
+    n_windows = len({(found[i]["pos"] + k, found[i]["size"]) for i in best for k in range(found[i]["reps"])})
+    return {"spans": [x for s in spans for x in s], "pairs": [x for p in pairs for x in p], "n_tokens": sum(b - a for a, b in spans), "n_windows": n_windows, "exact": all(verbatim[i] for i in best)}
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            judged = pa.RecordBatch.from_pylist([_line(found) for found in part.column("at").to_pylist()], _LINE)
+            yield pa.record_batch([*(part.column(c) for c in _KEYS), *judged.columns], names=[*_KEYS, *_LINE.names])
+
+
+def _together(lines: list[dict], span: int, share: float) -> tuple[int, int, bool] | None:
+    """The most tokens that diagonals within ``span`` of one another cover with mappings that agree, if at least ``share``."""
+    at = [x["diagonal"] for x in lines]
+    spans = [list(zip(x["spans"][::2], x["spans"][1::2], strict=True)) for x in lines]
+    pairs = [list(zip(x["pairs"][::2], x["pairs"][1::2], strict=True)) for x in lines]
+    stretches, end = [], 0
+    for i, low in enumerate(at):
+        before, end = end, int(np.searchsorted(at, low + span, "right"))
+        if end > max(before, i + 1):  # more than the last stretch held
+            n = _length([s for k in range(i, end) for s in spans[k]])
+            if n >= share:
+                stretches.append((n, i, end))
+    best = None
+    for n, i, end in sorted(stretches, key=lambda s: (-s[0], s[1])):
+        if best is not None and n <= best[0]:
+            break
+        for order in (sorted(range(i, end), key=lambda k: -lines[k]["n_tokens"]), range(i, end)):
+            there, back, chosen = {}, {}, []
+            for k in order:
+                if all(there.get(a, b) == b and back.get(b, a) == a for a, b in pairs[k]):
+                    there.update(pairs[k])
+                    back.update((b, a) for a, b in pairs[k])
+                    chosen.append(k)
+            covered = _length([s for k in chosen for s in spans[k]])
+            if covered >= share and (best is None or covered > best[0]):
+                best = (covered, sum(lines[k]["n_windows"] for k in chosen), False)
+    return best
 
 
 def _judged(window: int, cover: float, run: int):
-    """For each document and item, the passage with most covered tokens, if that is a leak."""
-
-    def best_of(found: list[dict], least: float) -> tuple[int, int, bool] | None:
-        if len(_covered(found, range(len(found)))) < least:
-            return None
-        chosen = _counted(found)
-        n = len(_covered(found, chosen))
-        exact = len({found[i]["diagonal"] for i in chosen}) == 1 and all(found[i]["slots"] == found[i]["d_slots"] for i in chosen)
-        return (n, len({(found[i]["pos"], found[i]["size"]) for i in chosen}), exact) if n >= least else None
+    """For each document and item, the diagonal with most tokens if that is a leak, else the diagonals that are one together."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for row in (r for lo in range(0, batch.num_rows, 256) for r in batch.slice(lo, 256).to_pylist()):
-                by: dict[int, list[dict]] = {}
-                for x in sorted(row["at"], key=lambda x: (x["diagonal"], x["pos"], x["slots"], x["d_slots"])):
-                    by.setdefault(x["diagonal"], []).append(x)
                 share = cover * row["tokens"]
-                span = max(window, row["tokens"] // 2)
-                places = sorted(by)
-                hits = [best_of(found, min(share, run)) for found in by.values()]
-                end = 0
-                for i, low in enumerate(places):
-                    before, end = end, int(np.searchsorted(places, low + span, "right"))
-                    if end > max(before, i + 1):  # more than the last stretch held
-                        hits.append(best_of([x for p in places[i:end] for x in by[p]], share))
-                best = max((h for h in hits if h is not None), default=None)
+                alone = max((x["n_tokens"], x["n_windows"], x["exact"]) for x in row["lines"])
+                best = alone if alone[0] >= min(share, run) else _together(sorted(row["lines"], key=lambda x: x["diagonal"]), max(window, row["tokens"] // 2), share)
                 if best is not None:
-                    out.append({"doc_id": row["doc_id"], "item_id": row["item_id"], "n_windows": best[1], "n_tokens": best[0], "share": best[0] / row["tokens"], "exact": best[2]})
+                    out.append({c: row[c] for c in ("doc_id", "text_hash", "item_id")} | {"n_windows": best[1], "n_tokens": best[0], "share": best[0] / row["tokens"], "exact": best[2]})
             yield pa.RecordBatch.from_pylist(out, _HIT)
 
     return judge
 
 
-def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, literals: int = LITERALS, cover: float = COVER, run: int = RUN, block: int = BLOCK) -> DataFrame:
-    """doc_id, item_id, n_windows, n_tokens, share, exact of contaminated documents.
+def text_hash(column: str = "text"):
+    """What tells texts of one identifier apart."""
+    return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
-    ``docs`` has doc_id and text, ``items`` item_id and text."""
+
+def _found(docs: DataFrame, items: DataFrame, window: int, literals: int, cover: float, run: int, block: int) -> DataFrame:
     spark = docs.sparkSession
-    side = items.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    side = items.select(F.col("item_id").cast("long").alias("id"), F.lit(0).cast("long").alias("text_hash"), F.col("text").cast("string").alias("text"))
     sizes = [(n, raw) for n in range(1, window + 1) for raw in (False, True)]
     item_rows = materialise(side.mapInArrow(tidy(_search(window, literals, sizes)), _DDL), "items")
     n_rows = item_rows.count()
     used = sorted((r["size"], r["raw"]) for r in item_rows.select("size", "raw").distinct().collect())  # at most twice ``window`` values
-    text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    text = docs.select(F.col("doc_id").cast("long").alias("id"), text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
     parts = max(1, -(-n_rows // block))
     found = None
     for i in range(parts):  # one pass over the documents for each block of the benchmark
@@ -274,15 +328,30 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, literals: i
             found = one if found is None else found.unionByName(one)
     if found is None:
         found = item_rows.limit(0)
-    d = found.select(F.col("id").alias("doc_id"), F.col("pos").alias("d_pos"), "hash", F.col("slots").alias("d_slots"))
-    i = item_rows.select(F.col("id").alias("item_id"), "pos", "size", "hash", "slots", "tokens")
+    d = found.select(F.col("id").alias("doc_id"), "text_hash", F.col("pos").alias("d_pos"), F.col("reps").alias("d_reps"), "hash", F.col("slots").alias("d_slots"))
+    i = item_rows.select(F.col("id").alias("item_id"), "pos", "size", "reps", "hash", "slots", "tokens")
     # checked size; beyond it an ordinary join, whose hot keys adaptive execution splits
     both = d.join(F.broadcast(i) if n_rows <= SMALL else i, "hash")
-    at = F.struct((F.col("d_pos") - F.col("pos")).alias("diagonal"), "pos", "size", "slots", "d_slots")
-    group = both.groupBy("doc_id", "item_id", "tokens").agg(F.collect_set(at).alias("at"))
+    # two runs of equal windows meet at their beginnings and at their ends
+    both_reps = F.least("reps", "d_reps")
+    begin = F.struct((F.col("d_pos") - F.col("pos")).alias("diagonal"), F.col("pos").alias("pos"))
+    end = F.struct((F.col("d_pos") + F.col("d_reps") - F.col("pos") - F.col("reps")).alias("diagonal"), (F.col("pos") + F.col("reps") - both_reps).alias("pos"))
+    met = both.select("*", both_reps.alias("n"), F.explode(F.when(F.col("reps") == F.col("d_reps"), F.array(begin)).otherwise(F.array(begin, end))).alias("at"))
+    window_of = F.struct(F.col("at.pos").alias("pos"), "size", F.col("n").alias("reps"), "slots", "d_slots")
+    lines = met.groupBy("doc_id", "text_hash", "item_id", "tokens", F.col("at.diagonal").alias("diagonal")).agg(F.collect_set(window_of).alias("at")).mapInArrow(tidy(_lines), _LINE_DDL)
+    group = lines.groupBy("doc_id", "text_hash", "item_id", "tokens").agg(F.collect_list(F.struct("diagonal", "spans", "pairs", "n_tokens", "n_windows", "exact")).alias("lines"))
     return group.mapInArrow(tidy(_judged(window, cover, run)), _HIT_DDL)
 
 
+def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, literals: int = LITERALS, cover: float = COVER, run: int = RUN, block: int = BLOCK) -> DataFrame:
+    """doc_id, item_id, n_windows, n_tokens, share, exact of contaminated documents.
+
+    ``docs`` has doc_id and text, ``items`` item_id and text."""
+    return _found(docs, items, window, literals, cover, run, block).drop("text_hash")
+
+
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all columns) that match no item."""
-    return without(docs, materialise(matches(docs, items).select("doc_id").distinct(), "leaks"))
+    leaks = materialise(_found(docs, items, WINDOW, LITERALS, COVER, RUN, BLOCK).select(F.col("doc_id").alias("_leak_id"), F.col("text_hash").alias("_leak_text")).distinct(), "leaks")
+    leaks = F.broadcast(leaks) if leaks.count() <= SMALL else leaks  # counted; beyond it both sides are shuffled
+    return docs.join(leaks, F.col("doc_id").cast("long").eqNullSafe(F.col("_leak_id")) & (text_hash() == F.col("_leak_text")), "left_anti")
