@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -56,3 +56,8 @@ def js_or(col: Column, default: object) -> Column:
 def nonempty_match(col: Column, pattern: str, group: int = 1) -> Column:
     """Group of the first match or null."""
     return F.when(col.rlike(pattern), F.regexp_extract(col, pattern, group))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` as one variable, however often it is used: the expression neither grows nor is worked out again."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .base import any_match, first_of, holds, labels, lookup
 
 # ---- fixed values: patterns and tables that decide the classes ----
-EXCLUDED = (r"^dist/", r"\.d\.ts$", r"node_modules/", r"\.map$", r"package-lock\.json$", r"\.md$", r"\.txt$", r"\.json$", r"command-center/mindmap-prd\.md$", r"command-center/review-prd\.md$")
+EXCLUDED = (r"^dist/", r"\.d\.ts$", r"node_modules/", r"\.map$", r"package-lock\.json$", r"\.md$", r"\.txt$", r"\.json$")
 TEST_FILE = (r"\.test\.", r"\.spec\.", r"^tests?/", r"^spec/", r"__tests__/", r"\.test$", r"\.spec$")
 CONFIG_FILE = (
     r"\.config\.", r"^package\.json$", r"^tsconfig", r"^jest\.config", r"^webpack\.config", r"^\.env", r"^\.eslintrc", r"^\.prettierrc",
@@ -116,7 +118,9 @@ def change_types(paths: Column, snippets: Column) -> Column:
 
 
 def context_type(path: Column) -> Column:
-    return first_of([(holds(path, (".test.", ".spec.")), "test"), (holds(path, ("config",)) | any_match(path, [r"\.json$"]), "config"), (holds(path, ("utils", "helpers")), "function")], "module")
+    """test, config, function (scripts) or module, by the path; the first that holds."""
+    ends = lambda *names: any_match(path, [f"{re.escape(n)}$" for n in names])
+    return first_of([(holds(path, ("test", "spec")), "test"), (holds(path, ("config",)) | ends(".json", ".yml"), "config"), (ends(".ts", ".js"), "function")], "module")
 
 
 def is_key_change(content: Column) -> Column:

@@ -28,8 +28,8 @@ def running(df: DataFrame, value: Column, order: Sequence[Column], bucket: Colum
 def value_at_rank(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float], cells: int = 1000) -> DataFrame:
     """Value at 0-based rank floor(p n) for each key, exactly.
 
-    Counts over ``cells`` cells of the value's range find the cell that holds the rank; only rows of
-    that cell are sorted."""
+    Counts over ``cells`` cells of the value's range find the cell that holds the rank; only the different
+    values of that cell are sorted, with their counts."""
     ends = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"))
     width = (F.col("_hi") - F.col("_lo")) / cells
     cell = F.when(width > 0, F.least(F.lit(cells - 1), F.floor((F.col(value) - F.col("_lo")) / width))).otherwise(F.lit(0)).alias("_c")
@@ -39,8 +39,10 @@ def value_at_rank(df: DataFrame, keys: Sequence[str], value: str, shares: dict[s
     wanted = counts.withColumn("_below", below).withColumn("_p", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(p).alias("p")) for k, p in shares.items()])))
     rank = F.least(F.floor(F.col("_p.p") * F.col("_n")), F.col("_n") - 1)
     wanted = wanted.where((rank >= F.col("_below")) & (rank < F.col("_below") + F.col("_k"))).select(*keys, "_c", F.col("_p.name").alias("_name"), (rank - F.col("_below")).alias("_r"))
-    inside = rows.join(small(wanted), [*keys, "_c"]).groupBy(*keys, "_name", "_r").agg(F.array_sort(F.collect_list("_v")).alias("_s"))
-    picked = inside.select(*keys, "_name", F.get("_s", F.col("_r").cast("int")).alias("_x"))
+    # the cell's different values with their counts, so that a common value is one row
+    inside = rows.join(small(wanted), [*keys, "_c"]).groupBy(*keys, "_name", "_r", "_v").agg(F.count(F.lit(1)).alias("_m"))
+    through = F.sum("_m").over(W.partitionBy(*keys, "_name").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    picked = inside.withColumn("_t", through).where((F.col("_t") > F.col("_r")) & (F.col("_t") - F.col("_m") <= F.col("_r"))).select(*keys, "_name", F.col("_v").alias("_x"))
     return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == k, F.col("_x"))).alias(k) for k in shares])
 
 

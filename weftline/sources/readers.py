@@ -40,6 +40,24 @@ def untracked(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("ord", F.col("value").alias("filename"), F.lit("added").alias("status"))
 
 
+def whole_diff(spark: SparkSession, path: str) -> DataFrame:
+    """filename, status, patch, additions, deletions of every file of whole ``git diff`` outputs.
+
+    The text reader takes the heads of files as the separator of its records, so one large diff is cut between
+    files and read by as many tasks as its size asks for. The name is that after the change (before it, if the file was
+    removed); files that are excluded elsewhere are here too. The patch starts at the first hunk; binary files have none."""
+    raw = spark.read.option("lineSep", "\ndiff --git ").text(path).select(F.concat(F.lit("diff --git "), F.regexp_replace("value", r"^diff --git ", "")).alias("d"))
+    head, side = F.substring_index("d", "\n@@ ", 1), lambda p: F.regexp_extract("d", p, 1)
+    old, new, named = side(r"(?m)^--- (?:a/)?(.*?)\t?$"), side(r"(?m)^\+\+\+ (?:b/)?(.*?)\t?$"), side(r"^diff --git .* b/(.*)")
+    moved = side(r"(?m)^rename to (.*)$")
+    name = F.when(~new.isin("", "/dev/null"), new).when(~old.isin("", "/dev/null"), old).when(moved != "", moved).otherwise(named)
+    status = F.when(head.rlike(r"(?m)^new file mode"), "added").when(head.rlike(r"(?m)^deleted file mode"), "removed").when(head.rlike(r"(?m)^rename to"), "renamed").otherwise("modified")
+    patch = F.when(F.contains("d", F.lit("\n@@ ")), F.regexp_replace(F.substring("d", F.length(head) + 2, 1 << 30), r"\n$", "")).otherwise(F.lit(""))
+    rows = raw.where(F.col("d").rlike(r"^diff --git a/")).select(name.alias("filename"), status.alias("status"), patch.alias("patch"))
+    count = lambda sign: F.regexp_count("patch", F.lit(rf"(?m)^{sign}")).cast("int")
+    return rows.withColumn("additions", count(r"\+")).withColumn("deletions", count("-"))
+
+
 def with_patches(listing: DataFrame, patches: DataFrame) -> DataFrame:
     """Listing with its patches (filename, patch); a file without one has an empty patch."""
     return listing.join(patches.select("filename", "patch"), "filename", "left").withColumn("patch", F.coalesce("patch", F.lit("")))
