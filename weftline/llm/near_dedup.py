@@ -212,11 +212,12 @@ def _extras(rel: DataFrame, known: DataFrame, shared: DataFrame, similarity: flo
     first = F.size(sb) - need + 1  # the prefix less the shingles of no other text
     take = F.when(need > F.col("common"), F.greatest(F.lit(0), first)).otherwise(F.size(beyond))
     keys = rel.select("a", "b", "p", F.explode(F.slice(beyond, F.lit(1), take)).alias("x")).select(F.xxhash64("a", "x", F.col("p") == F.col("b")).alias("key"), F.col("b").alias("doc"), "p")
-    # shingles of the leader alone can make b and a text of up to ``limit`` shingles similar
-    limit = F.when(F.col("similarity") < similarity, F.floor((1 + similarity) / similarity * F.col("common") + 1e-9) - F.col("size"))
-    sized = rel.select("a", "b", "p", "size", limit.alias("limit"))
-    ends = sized.groupBy("a").agg(F.min("size").alias("lo"), F.max("limit").alias("hi")).where("lo <= hi")
-    within = sized.join(scale.near(ends), "a").where("size <= hi OR limit >= lo")
+    # shingles of the leader alone can make b and a text of up to ``limit`` shingles similar. Texts like the
+    # leader are of one component; another one meets those of them, and those others, that its limit allows
+    limit = F.floor((1 + similarity) / similarity * F.col("common") + 1e-9) - F.col("size")
+    sized = rel.select("a", "b", "p", "size", limit.alias("limit"), (F.col("similarity") >= similarity).alias("like"))
+    ends = sized.groupBy("a").agg(F.min("size").alias("lo"), F.max(F.when(~F.col("like"), F.col("limit"))).alias("hi")).where("lo <= hi")
+    within = sized.join(scale.near(ends), "a").where("IF(like, size <= hi, limit >= lo)")
     return keys.unionByName(within.select(F.xxhash64("a", F.lit("within"), F.col("p") == F.col("b")).alias("key"), F.col("b").alias("doc"), "p")).distinct()
 
 
@@ -240,11 +241,35 @@ def _dealt_anew(star: DataFrame, known: DataFrame, shared: DataFrame, similarity
     return found.join(more, "key", "left_semi")
 
 
+def _by_consensus(large: DataFrame, shared: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """key, doc, p: buckets too large for pairs, dealt anew by the shingles that at least half of their members have.
+
+    Leaders have changes of their own, so what they lack is common to all the others; the consensus of a
+    bucket lacks nothing common. It holds at most twice as many shingles as a member. As with a leader, similar texts share one of
+    the first shingles beyond it, or lie within it: then each one's size is at most the other's limit,
+    so a text looks for partners in the bands of sizes (1 % wide) that its limit allows."""
+    named = large.select("key", "doc", "n").join(shared, "doc")
+    often = named.select("key", "n", F.explode("shared").alias("x")).groupBy("key", "x").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n")).where("2 * m >= n")
+    consensus = often.groupBy("key").agg(F.collect_list("x").alias("u"))
+    rows = named.join(sizes, "doc").join(consensus, "key", "left").withColumn("u", F.coalesce("u", F.array().cast("array<long>")))
+    common, need = F.size(F.array_intersect("shared", "u")), F.ceil(F.lit(similarity) * F.col("size") - 1e-9).cast("int")
+    limit = F.floor((1 + similarity) / similarity * common + 1e-9) - F.col("size")
+    rows = rows.select("key", "doc", "size", limit.alias("limit"), F.array_except("shared", "u").alias("beyond"), F.when(need > common, F.greatest(F.lit(0), F.size("shared") - need + 1)).alias("take"))
+    keys = rows.select("key", "doc", F.explode(F.slice("beyond", F.lit(1), F.coalesce("take", F.size("beyond")))).alias("x")).select(F.xxhash64("key", "x").alias("key"), "doc")
+    ends = rows.groupBy("key").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
+    band = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(1.01))).cast("int")
+    low, high = F.greatest(need, F.col("lo")), F.least("limit", "hi")
+    inside = rows.join(ends, "key").where(low <= high)
+    bands = F.array_distinct(F.concat(F.array(band(F.col("size"))), F.sequence(band(low), band(high))))
+    within = inside.select("key", "doc", F.explode(bands).alias("band")).select(F.xxhash64("key", F.lit("within"), "band").alias("key"), "doc")
+    return keys.unionByName(within).distinct().select("key", "doc", F.col("doc").alias("p"))
+
+
 def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similarity: float = SIMILARITY, turns: int = 2, few: tuple[int, int] = (6, 48)) -> DataFrame:
     """doc_id, group_id for every row: group_id is the least identifier of the text's group.
 
     Buckets of at most ``few`` members (in the first turn, later) are compared pair by pair between
-    components, larger ones as stars for ``turns`` turns; what is open then is compared pair by pair."""
+    components, larger ones as stars for ``turns`` turns; what is open then is dealt by consensus, as often, and compared pair by pair."""
     text = documents_only(docs)
     sig = materialise(text.mapInArrow(tidy(_signatures(bands, rows)), "doc_id long, s1 long, s2 long, size int, bands array<long>"), "signatures")
     scale = _Scale(sig.count())
@@ -260,6 +285,14 @@ def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similarity: fl
     buckets, comp, known, shared = entry.select("key", "doc", F.col("doc").alias("p")), None, None, None
     for turn in range(turns + 1):
         rest = scale.write(_open(buckets.join(scale.near(dense), "doc"), comp, scale), "open")
+        for _ in range(turns if turn == turns else 0):
+            wide = rest.where(F.col("n") > few[1])
+            if shared is None or wide.isEmpty():
+                break
+            sizes = sig.select(F.col("doc_id").alias("doc"), "size").join(scale.near(wide.select("doc").distinct()), "doc", "left_semi").groupBy("doc").agg(F.max("size").alias("size"))
+            dealt = scale.write(_by_consensus(wide, shared, sizes, similarity), "consensus")
+            narrow = rest.where(F.col("n") <= few[1]).select("key", "doc", "p", "score", "component", "n")
+            rest = scale.write(narrow.unionByName(_open(dealt.join(scale.near(dense), "doc"), comp, scale)), "open")
         least = few[min(turn, 1)] if turn < turns else 1 << 62
         small, large = rest.where(F.col("n") <= least), rest.where(F.col("n") > least)
         other = small.select("key", F.col("doc").alias("doc2"), F.col("component").alias("component2"), F.col("p").alias("p2"))
