@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import answers, diffs, expansions, linking, measures, relations, reviews, rules, semantic, spans, texts, themes, trees
+from . import answers, diffs, expansions, linking, measures, projections, relations, reviews, rules, semantic, spans, texts, themes, trees
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (reviews, measures, linking, texts, trees, themes, semantic, expansions, spans, rules, answers, diffs, relations):
+for _part in (reviews, measures, linking, texts, trees, themes, semantic, expansions, spans, rules, answers, diffs, relations, projections):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

@@ -81,6 +81,43 @@ def listing_pages(spark: SparkSession, path: str, per_page: int = 100, pages: in
     return rows.select((F.col("page") * per_page + F.col("pos")).alias("ord"), "r.*").where(included(F.col("filename")))
 
 
+def pull_requests(spark: SparkSession, path: str) -> DataFrame:
+    """Staged pull requests (JSON lines, as the listing has them): ord, number, title, body, state, branches and commits; a missing body is empty."""
+    raw = spark.read.schema(schemas.PULL).json(path).withColumn("ord", F.monotonically_increasing_id())
+    return raw.where("number is not null").select(
+        "ord", "number", "title", F.coalesce("body", F.lit("")).alias("body"), "state", F.col("base.ref").alias("base_branch"), F.col("head.ref").alias("head_branch"), F.col("base.sha").alias("base_sha"), F.col("head.sha").alias("head_sha")
+    )
+
+
+def review_contexts(runs: DataFrame, requests: DataFrame) -> DataFrame:
+    """What each run reviews: run, number, title, body, base_branch, head_branch, base_sha, head_sha; all null but the run where nothing fits.
+
+    runs: run, event, number, base_sha, head_sha, branch. A run with a number and both commits is a manual one: it takes the listed request with
+    its own commits, or defaults. A run of a pull_request event takes its request; any other the first open request of its branch."""
+    columns = ["number", "title", "body", "base_branch", "head_branch", "base_sha", "head_sha"]
+    whole = F.struct(*columns)
+    by_number = requests.groupBy(F.col("number").alias("_n")).agg(F.max_by(whole, "ord").alias("own"))
+    by_branch = requests.where("state = 'open'").groupBy(F.col("head_branch").alias("_b")).agg(F.min_by(whole, "ord").alias("found"))
+    rows = runs.join(by_number, F.col("number") == F.col("_n"), "left").join(by_branch, F.col("branch") == F.col("_b"), "left")
+    manual = F.col("number").isNotNull() & (F.coalesce("base_sha", F.lit("")) != "") & (F.coalesce("head_sha", F.lit("")) != "")
+    title = F.coalesce("own.title", F.concat(F.lit("PR #"), F.col("number").cast("string")))
+    given = F.struct(
+        F.col("number"), title.alias("title"), F.coalesce("own.body", F.lit("")).alias("body"), F.coalesce("own.base_branch", F.lit("main")).alias("base_branch"),
+        F.coalesce("own.head_branch", F.lit("feature-branch")).alias("head_branch"), "base_sha", "head_sha",
+    )
+    chosen = F.when(manual, given).when((F.col("event") == "pull_request") & F.col("own").isNotNull(), F.col("own")).otherwise(F.col("found"))
+    return rows.withColumn("_c", chosen).select("run", *[F.col(f"_c.{c}").alias(c) for c in columns])
+
+
+def target_branches(runs: DataFrame, branches: DataFrame, candidates: Sequence[str] = ("main", "master", "develop")) -> DataFrame:
+    """run and target: of the upstream's remote (run, upstream such as origin/topic), the first candidate that
+    ``branches`` (run, branch) lists; null without one, or for an upstream without a remote."""
+    remote = F.when(F.contains("upstream", F.lit("/")), F.substring_index("upstream", "/", 1))
+    asked = runs.select("run", F.posexplode(F.transform(F.array(*[F.lit(c) for c in candidates]), lambda c: F.concat_ws("/", remote, c))).alias("rank", "branch"), remote.alias("remote"))
+    found = asked.where("remote is not null").join(branches.select("run", "branch").distinct(), ["run", "branch"]).groupBy("run").agg(F.min_by("branch", "rank").alias("target"))
+    return runs.select("run").join(found, "run", "left")
+
+
 def first_nonempty(frames: Sequence[DataFrame]) -> DataFrame:
     """The first source that has rows, else the last."""
     for df in frames[:-1]:

@@ -16,3 +16,5 @@ ISSUES = f"node_id STRING, ord INT, severity STRING, category STRING, descriptio
 PAGE = "array<struct<filename: string, status: string, patch: string, additions: int, deletions: int>>"
 SAVED_THEME = "struct<id: string, name: string, description: string, level: int, affectedFiles: array<string>, codeSnippets: array<string>, confidence: double>"
 SAVED = f"metadata STRUCT<timestamp: STRING, mode: STRING, totalFiles: INT, totalThemes: INT, processingTime: DOUBLE>, summary STRING, rawAnalysis STRUCT<themes: ARRAY<{SAVED_THEME}>>"
+_SIDE = "STRUCT<ref: STRING, sha: STRING>"
+PULL = f"number LONG, title STRING, body STRING, state STRING, base {_SIDE}, head {_SIDE}"
