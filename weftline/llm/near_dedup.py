@@ -14,7 +14,8 @@ a few candidates is compared pair by pair; a larger one is linked as a star arou
 a bucket in several components, two members that are similar to each other but not to the leader must
 share shingles that the leader lacks (or lie within it, and be of about its size): the bucket is dealt
 anew by those shingles, as many as prefix filtering asks for with the rarest first, and the new
-buckets are treated alike until every bucket lies in one component. No link is lost that way, and
+buckets are treated alike. What is still open and large after two turns is dealt by the shingles that half of a
+bucket's members have, which lack nothing common as a leader with changes of its own does. No link is lost that way, and
 copies that differ by edits of their own share no such shingle and cost nothing more. Pairs are
 verified by the Jaccard similarity of their distinct shingles.
 
