@@ -121,3 +121,11 @@ def test_spans(spark):
             assert r["children"] == len(kids) and (r["duration"] is None or r["self_time"] == r["duration"] - sum(v[3] or 0 for v in kids))
             over = want[r["parent"]][3] if r["parent"] is not None else None
             assert r["bottleneck"] == bool(over and (r["duration"] or 0) / over > 0.7)
+
+
+def test_containing_reads_texts_once_for_many_patterns(spark):
+    texts = spark.createDataFrame([(i, f"see dir{i:06d}/file é{i:06d}.ts, and so on") for i in range(300)], "id long, text string")
+    patterns = spark.range(120_000).select(F.format_string("file é%06d.ts", "id").alias("pattern"))
+    found = snippets.containing(texts, patterns)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted(tuple(r) for r in found.collect()) == [(i, f"file é{i:06d}.ts") for i in range(300)]

@@ -1,40 +1,102 @@
 """Which snippets mention which files, and the line table that follows.
 
-A join by containment: every text is read once by an automaton of all patterns instead of once a
-pattern. Patterns travel in blocks of bounded size, as many passes as there are blocks, so neither side has
-to fit a task; only matches leave the scan, and no pair that does not match is ever formed."""
+A join by containment: every text is read once for each power of two among the patterns' lengths instead of once a
+pattern, by hashes of its windows as long as that; where a pattern may begin, whole lengths are tried. What has the hash of a pattern
+leaves the scan as text and is joined with the patterns as such, so the result is exact. Only hashes travel, in blocks of bounded size, as many
+passes as there are blocks; no pair that does not match is ever formed."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import predicates as pred
-from .cluster import cut
+from .cluster import stored
 
-BLOCK = 100_000
+BLOCK = 4_000_000  # 32 bytes of a task each
+CHUNK = 1 << 20  # bytes of texts at a time
+BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 SPACE = r"[ \t\r\n\f\x0B]+"
 
 
+def _chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of some rows at a time; null texts are empty."""
+    column = column.fill_null("").cast(pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK, "right")) - 1)
+        yield lo, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        lo = hi
+
+
+def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of bytes by powers of an odd number modulo 2^64, and the powers of its inverse: a window's hash is a difference of two sums."""
+    n = len(data) + 1
+    powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, BASE), dtype=np.uint64)])
+    back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, INVERSE), dtype=np.uint64)])
+    return np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1], dtype=np.uint64)]), back
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, data, offsets in _chunks(batch.column("pattern")):
+            sums, back = _sums(data)
+            size = np.diff(offsets)
+            head = _head(size)
+            h, first = ((sums[offsets[:-1] + n] - sums[offsets[:-1]]) * back[offsets[:-1]] for n in (size, head))
+            yield pa.record_batch([pa.array(size), pa.array(head), pa.array(h.view(np.int64)), pa.array(first.view(np.int64))], names=["size", "head", "hash", "first"])
+
+
+def _head(size: np.ndarray) -> np.ndarray:
+    """Greatest power of two that is at most each size."""
+    return np.int64(1) << (np.frexp(size.astype(float))[1].astype(np.int64) - 1)
+
+
+def _grouped(table: pa.Table) -> dict:
+    """head: hashes of the first so many bytes, and by size the hashes of whole patterns; all sorted."""
+    size, head, whole, first = (table.column(c).to_numpy() for c in ("size", "head", "hash", "first"))
+    whole, first = whole.view(np.uint64), first.view(np.uint64)
+    return {int(n): (np.unique(first[head == n]), {int(s): np.unique(whole[size == s]) for s in np.unique(size[head == n])}) for n in np.unique(head)}
+
+
+def _among(hashes: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h
+
+
 def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for p in shared.value:
-            automaton.add_word(p, p)
-        automaton.make_automaton()
+        tables = {}
+        for head, (first, sizes) in shared.value.items():
+            room = max(10, int(len(first) * 16).bit_length())
+            seen = np.zeros(1 << room, bool)
+            seen[(first * MIX) >> np.uint64(64 - room)] = True
+            tables[head] = (first, sizes, seen, np.uint64(64 - room))
         for batch in batches:
-            rows, patterns = [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                found = sorted({p for _, p in automaton.iter(text)}) if text else ()
-                rows += [i] * len(found)
-                patterns += found
-            yield pa.record_batch([batch.column("id").take(pa.array(rows, pa.int64())), pa.array(patterns, pa.string())], names=["id", "pattern"])
+            for lo, data, offsets in _chunks(batch.column("text")):
+                sums, back = _sums(data)
+                rows, patterns, whole, found = [], [], data.tobytes(), []
+                for head, (first, sizes, seen, shift) in tables.items():
+                    h = (sums[head:] - sums[: max(0, len(sums) - head)]) * back[: max(0, len(back) - head)]
+                    at = np.flatnonzero(seen[(h * MIX) >> shift])
+                    at = at[_among(first, h[at])]
+                    end = offsets[np.searchsorted(offsets, at, "right")]
+                    for size, hashes in sizes.items():
+                        start = at[at + size <= end]
+                        found.append((size, start[_among(hashes, (sums[start + size] - sums[start]) * back[start])]))
+                for size, start in found:
+                    own = np.searchsorted(offsets, start, "right") - 1
+                    for row, text in sorted({(int(r), whole[i : i + size]) for r, i in zip(own, start, strict=True)}):
+                        rows.append(lo + row)
+                        patterns.append(text.decode("utf-8", "replace"))
+                yield pa.record_batch([batch.column("id").take(pa.array(rows, pa.int64())), pa.array(patterns, pa.string())], names=["id", "pattern"])
 
     return run
 
@@ -43,16 +105,17 @@ def containing(texts: DataFrame, patterns: DataFrame, block: int = BLOCK) -> Dat
     """(id, pattern): each pattern that each text contains, once. texts: id (long), text; patterns: pattern.
 
     A null text contains nothing, the empty pattern is in every other; null patterns are ignored. ``block`` bounds the
-    patterns that one automaton holds."""
-    own = cut(patterns.select("pattern").where("pattern is not null").distinct())
+    patterns whose hashes a task holds."""
+    own = stored(patterns.select("pattern").where("pattern is not null").distinct())
     n = own.where("pattern <> ''").count()
-    out = texts.where("text is not null").join(own.where("pattern = ''").limit(1), how="cross").select("id", "pattern")  # at most one row
-    parts = -(-n // block)
+    empty = texts.where("text is not null").join(own.where("pattern = ''").limit(1), how="cross").select("id", "pattern")  # at most one row
+    parts, out = -(-n // block), None
     for i in range(parts):
-        words = [r["pattern"] for r in own.where((F.col("pattern") != "") & (F.pmod(F.xxhash64("pattern"), F.lit(parts)) == i)).collect()]  # about ``block``
-        shared = texts.sparkSession.sparkContext.broadcast(words)
-        out = out.unionByName(texts.select("id", "text").mapInArrow(_scan(shared), "id long, pattern string"))
-    return out
+        mine = own.where((F.col("pattern") != "") & (F.pmod(F.xxhash64("pattern"), F.lit(parts)) == i)).mapInArrow(_hashed, "size long, head long, hash long, first long")
+        shared = texts.sparkSession.sparkContext.broadcast(_grouped(mine.distinct().toArrow()))  # about ``block`` rows of numbers
+        some = texts.select("id", "text").where("text is not null").mapInArrow(_scan(shared), "id long, pattern string")
+        out = some if out is None else out.unionByName(some)
+    return empty if out is None else empty.unionByName(out.join(own, "pattern", "left_semi").select("id", "pattern"))
 
 
 def base_name(file: Column) -> Column:
