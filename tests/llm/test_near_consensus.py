@@ -44,3 +44,15 @@ def test_edited_copies_of_one_text(spark, monkeypatch, seed):
     found = near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"), turns=1, few=(4, 6))
     assert {r["doc_id"]: r["group_id"] for r in found.collect()} == all_pairs(rows)
     assert dealt
+
+
+def test_components_grow_with_their_links(spark):
+    """Links of a later turn join the components of the earlier ones: same result as from all links, and only those between components are followed."""
+    rng = random.Random(7)
+    links = [(a, b) for a, b in ((rng.randrange(300), rng.randrange(300)) for _ in range(190)) if a != b]
+    scale = near_dedup._Scale(300)
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    read = lambda df: sorted(map(tuple, df.collect()))
+    first = near_dedup.components(frame(links[:120]), scale)
+    assert read(near_dedup._merged(first, frame(links[120:]), scale)) == read(near_dedup.components(frame(links), scale))
+    assert near_dedup._merged(first, frame(links[:50]), scale) is first

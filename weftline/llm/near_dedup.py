@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL, _byte_table, documents_only, materialise, mix, ranges_hash, slices, tidy, without, words
+from .common import SMALL, _byte_table, documents_only, materialise, mix, ranges_hash, settle, slices, tidy, without, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 26, 5
@@ -172,6 +172,18 @@ class _Scale:
         return materialise(df.repartition(self.files), label)
 
 
+def _merged(known: DataFrame, links: DataFrame, scale: _Scale) -> DataFrame:
+    """Components with more links (a, b): only those between two of ``known`` are followed, as links of these."""
+    one = lambda side: scale.near(known.select(F.col("node").alias(side), F.col("component").alias(f"{side}_c")))
+    named = scale.write(links.join(one("a"), "a", "left").join(one("b"), "b", "left").select("a", "b", F.coalesce("a_c", "a").alias("a_c"), F.coalesce("b_c", "b").alias("b_c")), "named")
+    across = named.where("a_c <> b_c").select(F.col("a_c").alias("a"), F.col("b_c").alias("b")).distinct()
+    if across.isEmpty():
+        return known
+    moved = components(across, scale).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    nodes = known.unionByName(named.select(F.col("a").alias("node"), F.col("a_c").alias("component"))).unionByName(named.select(F.col("b").alias("node"), F.col("b_c").alias("component"))).distinct()
+    return scale.write(nodes.join(scale.near(moved), "component", "left").select("node", F.coalesce("to", "component").alias("component")), "components")
+
+
 def components(links: DataFrame, scale: _Scale) -> DataFrame:
     """node, component (its least node) of the graph of links (a, b); labels spread and jump until none changes."""
     edges = scale.write(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -182,6 +194,7 @@ def components(links: DataFrame, scale: _Scale) -> DataFrame:
         jump = label.select(F.col("node").alias("c"), F.col("c").alias("j"))
         new = near.join(scale.near(label), "node").join(scale.near(jump), "c").select("node", F.least("m", "j", "c").alias("c2"), "c")
         new = scale.write(new, "labels")
+        settle(links.sparkSession)
         changed = not new.where("c2 <> c").isEmpty()
         label = new.select("node", F.col("c2").alias("c"))
         if not changed:
@@ -285,6 +298,7 @@ def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similarity: fl
 
     buckets, comp, known, shared = entry.select("key", "doc", F.col("doc").alias("p")), None, None, None
     for turn in range(turns + 1):
+        settle(docs.sparkSession)
         rest = scale.write(_open(buckets.join(scale.near(dense), "doc"), comp, scale), "open")
         for _ in range(turns if turn == turns else 0):
             wide = rest.where(F.col("n") > few[1])
@@ -292,6 +306,7 @@ def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similarity: fl
                 break
             sizes = sig.select(F.col("doc_id").alias("doc"), "size").join(scale.near(wide.select("doc").distinct()), "doc", "left_semi").groupBy("doc").agg(F.max("size").alias("size"))
             dealt = scale.write(_by_consensus(wide, shared, sizes, similarity), "consensus")
+            settle(docs.sparkSession)
             narrow = rest.where(F.col("n") <= few[1]).select("key", "doc", "p", "score", "component", "n")
             rest = scale.write(narrow.unionByName(_open(dealt.join(scale.near(dense), "doc"), comp, scale)), "open")
         least = few[min(turn, 1)] if turn < turns else 1 << 62
@@ -307,11 +322,13 @@ def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similarity: fl
             star = scale.write(large.join(lead, "key").where("doc <> lead").select("key", "lead", "doc"), "stars")
             rays = star.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
             pairs = pairs.unionByName(rays if known is None else rays.join(known.select("a", "b"), ["a", "b"], "left_anti")).distinct()
+        settle(docs.sparkSession)
         new = scale.write(compared(pairs, texts), "compared")
         if new.isEmpty() and star is None:
             break
         known = new if known is None else known.unionByName(new)
-        comp = components(known.where(F.col("similarity") >= similarity), scale)
+        alike = new.where(F.col("similarity") >= similarity)
+        comp = components(alike, scale) if comp is None else _merged(comp, alike, scale)
         if star is None:
             break
         still = _open(large.select("key", "doc", "p", "score"), comp, scale).select("key").distinct()
