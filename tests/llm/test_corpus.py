@@ -244,6 +244,17 @@ def test_language_counts_everything(spark):
     assert np.allclose(model.parts[0].logp(want[::97]), counted.logp(want[::97]))
 
 
+def test_language_limits_are_of_all_rows(spark):
+    """Rejection limits come from every training text, also beyond a few thousand."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join("".join(map(chr, rng.integers(97, 97 + 4 + i % 20, rng.integers(2, 9)))) for _ in range(rng.integers(1, 30))) for i in range(6_000)]
+    model = language_id.fit(spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string"))
+    blobs = [t.encode() for t in texts]
+    h, n = model.entropies(np.frombuffer(b"".join(blobs), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in blobs])]))
+    mean = np.average(h[:, 0], weights=n)
+    assert model.limits["a"] == pytest.approx((mean, h[n >= np.median(n), 0].std(), max(0.5, np.sqrt(np.mean((h[:, 0] - mean) ** 2 * n)))), rel=1e-5)
+
+
 def test_quality_and_toxicity(spark, docs):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     both = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

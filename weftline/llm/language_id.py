@@ -23,7 +23,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices, tidy
+from .common import materialise, mix, slices, tidy
 
 ORDER = 4
 PAD = ORDER - 1
@@ -285,24 +285,37 @@ def _grams(counts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def fit(train: DataFrame, calibration_rows: int = 4_000) -> Model:
-    """Model from columns doc_id, text, lang. All rows are counted; the rejection limits
-    are read from a sample by identifier hash of about ``calibration_rows`` rows."""
+_UNIT = 1 << 20  # limits are sums of whole numbers of this part of a nat, the same in any order
+
+
+def _limits(seen: DataFrame) -> dict[str, tuple[float, float, float]]:
+    """(mean, spread at any length, spread of one character) of each language, from lang_pred, entropy and n_symbols of all
+    its training texts. Spread at any length is that of the texts at least as long as the median one."""
+    whole = lambda x: F.round(x * _UNIT).cast("decimal(38,0)")
+    h, n = F.col("entropy"), F.col("n_symbols")
+    ways = [(F.sum(whole(h * n)).cast("double") / F.sum(n) / _UNIT).alias("mean"), F.percentile(n, F.lit(0.5)).alias("middle")]
+    mean = seen.groupBy("lang_pred").agg(*ways)
+    around, long = seen.join(F.broadcast(mean), "lang_pred"), n >= F.col("middle")
+    off, pick = h - F.col("mean"), lambda x: F.sum(F.when(long, whole(x)))
+    sums = around.groupBy("lang_pred", "mean").agg(pick(off).alias("s"), pick(off * off).alias("q"), F.count_if(long).alias("k"), F.avg(whole(off * off * n)).alias("v"))
+    out = {}
+    for r in sums.collect():
+        s, q, v = (float(r[c]) / _UNIT for c in "sqv")
+        spread = np.sqrt(max(0.0, q / r["k"] - (s / r["k"]) ** 2))
+        out[r["lang_pred"]] = (r["mean"], float(max(0.02, spread)), float(max(0.5, np.sqrt(v))))
+    return out
+
+
+def fit(train: DataFrame) -> Model:
+    """Model from columns doc_id, text, lang. All rows are counted, and the rejection limits are those of all rows."""
     rows = train.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     counts = rows.select("text", "lang").mapInArrow(tidy(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = counts.persist()
     model = Model(_grams(counts))
     counts.unpersist()
     if model.langs:
-        spark = train.sparkSession
-        share = min(1 << 30, -(-(calibration_rows << 30) // max(1, rows.count())))
-        sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
-        seen = sample.select("doc_id", "text").mapInArrow(tidy(_predict(spark.sparkContext.broadcast(model), 0.0, True)), _OUT).where("n_symbols > 0").toPandas()
-        for lang, part in seen.groupby("lang_pred"):
-            n, h = part["n_symbols"].to_numpy(float), part["entropy"].to_numpy()
-            mean = np.average(h, weights=n)
-            long = n >= np.median(n)
-            model.limits[lang] = (float(mean), float(max(0.02, h[long].std())), float(max(0.5, np.sqrt(np.mean((h - mean) ** 2 * n)))))
+        judged = rows.select("doc_id", "text").mapInArrow(tidy(_predict(train.sparkSession.sparkContext.broadcast(model), 0.0, True)), _OUT)
+        model.limits = _limits(materialise(judged.where("n_symbols > 0").select("lang_pred", "entropy", "n_symbols"), "entropies"))
     return model
 
 
