@@ -90,3 +90,12 @@ def test_related_groups_are_the_nested_loop(spark):
     assert {r["ord"]: r["leader"] for r in crossref.related_groups(df, pairs).collect()} == leader
     links = {(r["src"], r["dst"]) for r in crossref.related_links(df).collect()}
     assert links == {(f"n{x}", f"n{y}") for a, b in want if leader[a] == leader[b] for x, y in ((a, b), (b, a))}
+
+
+def test_an_answer_given_again_is_checked_once(spark):
+    """Copies of an answer, null ones too, share one judgement; the same text of another kind has its own."""
+    from weftline.plans import answers as plans
+
+    rows = [("similarity_check", "{}"), ("similarity_check", "{}"), ("other", "{}"), ("other", None), ("other", None), ("similarity_check", None)]
+    found = plans._judged(spark.createDataFrame(rows, "kind string, text string")).select("kind", "text", "status").collect()
+    assert sorted(map(str, (tuple(r) for r in found))) == sorted(map(str, [("similarity_check", "{}", "rejected"), ("other", "{}", "no-schema"), ("other", None, "no-json"), ("similarity_check", None, "no-json")]))

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers
+from ..functions.base import let
+from ..operators import relational
+from ..operators.cluster import stored
 from .rules import _list, _pick, _quoted
 from .tables import read
 
@@ -48,20 +51,25 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("key"), _pick(KINDS, kind).alias("kind"), text.alias("text"), F.col("p_name"), F.col("p_brand"), F.col("p_size"))
 
 
-def answer_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Status and issues of every answer by the schema of its kind; of those that are no use, what stands in for them."""
-    a = _answers(spark, sf_dir)
+def _judged(answers_: DataFrame) -> DataFrame:
+    """kind, text, status, issues, confidence, partial_ok and partial_clean, once for each distinct answer of a kind: an answer given
+    again is not checked again."""
     kind = F.col("kind")
     found, part = answers.checked(F.col("text"), kind), answers.partly(F.col("text"), kind, ["confidence"])
     said = F.array_join(F.transform(F.col("c.issues"), lambda i: F.concat_ws("=", i["path"], i["reason"])), ";")
+    rows = answers_.select("kind", "text").distinct().repartition(48, "kind", "text").withColumn("c", found).withColumn("p", part)
+    return stored(rows.select("kind", "text", F.col("c.status").alias("status"), said.alias("issues"), F.col("c.confidence").alias("confidence"), F.col("p.ok").alias("partial_ok"), F.col("p.clean").alias("partial_clean")))
+
+
+def answer_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status and issues of every answer by the schema of its kind; of those that are no use, what stands in for them."""
+    a, kind = _answers(spark, sf_dir), F.col("kind")
     name = F.when(F.col("p_size") % 3 > 0, F.col("p_name"))
     stand_in = answers.fallback(kind, F.col("p_brand"), name, name)
-    title = F.coalesce(F.get_json_object(stand_in, "$.themeName"), F.get_json_object(stand_in, "$.fileType"), F.get_json_object(stand_in, "$.reasoning"))
-    rows = a.withColumn("c", found).withColumn("p", part)
-    return rows.select(
-        "key", "kind", F.col("c.status").alias("status"), said.alias("issues"), F.col("c.confidence").alias("confidence"), F.col("p.ok").alias("partial_ok"), F.col("p.clean").alias("partial_clean"),
-        F.when(~F.col("c.status").isin("valid", "refused"), title).alias("stand_in"),
-    )
+    title = let(stand_in, lambda s: F.coalesce(F.get_json_object(s, "$.themeName"), F.get_json_object(s, "$.fileType"), F.get_json_object(s, "$.reasoning")))
+    judged = relational.small(_judged(a).withColumnsRenamed({"kind": "kind_j", "text": "text_j"}), 10_000)
+    rows = a.join(judged, kind.eqNullSafe(F.col("kind_j")) & F.col("text").eqNullSafe(F.col("text_j")))
+    return rows.select("key", "kind", "status", "issues", "confidence", "partial_ok", "partial_clean", F.when(~F.col("status").isin("valid", "refused"), title).alias("stand_in"))
 
 
 _EMPTY = "[]::STRUCT(path VARCHAR, reason VARCHAR)[]"
