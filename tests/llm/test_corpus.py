@@ -255,6 +255,20 @@ def test_language_limits_are_of_all_rows(spark):
     assert model.limits["a"] == pytest.approx((mean, h[n >= np.median(n), 0].std(), max(0.5, np.sqrt(np.mean((h[:, 0] - mean) ** 2 * n)))), rel=1e-5)
 
 
+def test_quality_learns_from_every_labelled_text(spark, monkeypatch):
+    """Each labelled text is measured and scored for the cut, and ranks are those of a sort."""
+    texts = [(i, "good plain words here . " * (1 + i % 7) if i % 3 else f"@@ ## {i} $$ " * (1 + i % 5)) for i in range(12_000)]
+    kept = {}
+    real = quality.materialise
+    monkeypatch.setattr(quality, "materialise", lambda df, label: kept.setdefault(label, real(df, label)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    ranker = quality.fit(docs, docs.selectExpr("doc_id", "int(doc_id % 3 > 0) AS quality").where("doc_id % 12 > 0 OR doc_id < 1"))
+    assert ranker.fitted and kept["measures"].count() == kept["scores"].count() == 11_001
+    order = sorted(r["s"] for r in kept["scores"].collect())
+    assert quality._at_rank(kept["scores"], [0, 3000, 11_000]) == [order[0], order[3000], order[11_000]]
+    assert quality.score(docs, ranker).where("predicted <> int(doc_id % 3 > 0)").isEmpty()
+
+
 def test_quality_and_toxicity(spark, docs):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     both = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

@@ -13,6 +13,7 @@ any length are measured whole; without rows of both labels every score is 0.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, slices, tidy, word_hashes, words
+from .common import SMALL, documents_only, materialise, slices, tidy, word_hashes, words
 
 THRESHOLD = 0.3
 _SLICE = 1 << 18  # keeps a worker's arrays to a few tens of MB
@@ -76,32 +77,13 @@ class Ranker:
         self.mean, self.spread, self.weights = np.zeros(size), np.ones(size), np.zeros(size)
         self.cut, self.scale, self.fitted = 0.0, 1.0, False
 
-    def fit(self, x: np.ndarray, y: np.ndarray, pairs: int, seed: int, low: float, ridge: float = 3.0) -> None:
-        self.mean, self.spread = x.mean(0), x.std(0) + 1e-6
-        x = np.clip((x - self.mean) / self.spread, -8, 8)
-        draw = np.random.default_rng(seed)
-        up, down = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-        d = x[draw.choice(up, pairs)] - x[draw.choice(down, pairs)]
-        w = np.zeros(x.shape[1])
-        for _ in range(40):
-            p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))  # chance that the pair is ranked wrongly
-            step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d + ridge * np.eye(len(w)), d.T @ p - ridge * w)
-            w += step
-            if np.abs(step).max() < 1e-6:
-                break
-        s = x @ w
-        self.weights, self.fitted = w, True
-        # the sample's two labels weighted as they occur (label 0: ``low``), the cut between the scores around that quantile
-        order = np.argsort(s)
-        rank = np.cumsum(np.where(y[order] == 0, low / max(1, len(down)), (1 - low) / max(1, len(up))))
-        near = [s[order][min(len(s) - 1, int(np.searchsorted(rank, q)))] for q in (low - 1e-9, min(1.0, low + 0.005))]
-        self.cut = float(np.mean(near))
-        self.scale = float(max(1e-6, s.std()) / 3)
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.spread, -8, 8)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if not self.fitted:
             return np.zeros(len(x))
-        s = np.clip((x - self.mean) / self.spread, -8, 8) @ self.weights
+        s = self.scaled(x) @ self.weights
         return 1 / (1 + np.exp(-np.clip((s - self.cut) / self.scale + np.log(THRESHOLD / (1 - THRESHOLD)), -40, 40)))
 
 
@@ -110,22 +92,129 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi, data, offsets in slices(batch, "text", _SLICE):
             x = measures(data, offsets)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-            yield pa.record_batch([batch.column("y").slice(lo, hi - lo), flat], names=["y", "x"])
+            yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), batch.column("y").slice(lo, hi - lo), flat], names=["doc_id", "y", "x"])
+
+
+def _sums(of):
+    """One row of the task's sums of ``of(y, x)`` over its rows; a group's rows follow one another and meet in one call."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held = None, None
+        for batch in _with_end(batches):
+            if batch is not None and not batch.num_rows:
+                continue
+            if batch is not None:
+                x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+                now = (batch.column("g").to_numpy(), batch.column("y").to_numpy(), x)
+                held = now if held is None else tuple(np.concatenate(c) for c in zip(held, now, strict=True))
+            if held is None:
+                continue
+            g, y, x = held
+            edges = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
+            whole = len(edges) - 1 if batch is None else len(edges) - 2  # the last group may go on
+            for lo, hi in zip(edges[:whole], edges[1 : whole + 1], strict=True):
+                part = of(y[lo:hi], x[lo:hi])
+                total = part if total is None else total + part
+            held = tuple(c[edges[whole] :] for c in held)
+        if total is not None:
+            yield pa.record_batch([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+    return run
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _summed(rows: DataFrame, of) -> np.ndarray:
+    """Sums over all tasks, the same in whatever order they end."""
+    parts = [r["sums"] for r in rows.select("g", "y", "x").mapInArrow(tidy(_sums(of)), "sums array<double>").collect()]
+    return np.array([math.fsum(c) for c in zip(*parts, strict=True)])
+
+
+def _newton(ranker: Ranker, w: np.ndarray):
+    """Gradient and curvature of the logistic loss of all pairs (label 1, label 0) of a group, as one row."""
+
+    def of(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+        x = ranker.scaled(x)
+        up, down = x[y == 1], x[y == 0]
+        p = 1 / (1 + np.exp(np.clip((up @ w)[:, None] - (down @ w)[None, :], -30, 30)))  # chance that the pair is ranked wrongly
+        v = p * (1 - p)
+        across = up.T @ v @ down
+        bend = (up * v.sum(1)[:, None]).T @ up + (down * v.sum(0)[:, None]).T @ down - across - across.T
+        return np.concatenate([[p.size], up.T @ p.sum(1) - down.T @ p.sum(0), bend.ravel()])
+
+    return of
+
+
+def _at_rank(scores: DataFrame, ranks: list[int]) -> list[float]:
+    """Scores at these places (from 0) in ascending order: histograms of ever narrower ranges, nothing is sorted in one task."""
+    out = []
+    for rank in ranks:
+        rest = scores
+        while True:
+            low, high = rest.agg(F.min("s"), F.max("s")).first()
+            if low == high:
+                break
+            width = (high - low) / 4096
+            cell = F.least(F.lit(4095), F.floor((F.col("s") - low) / width)).cast("int")
+            for row in sorted(rest.groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("a"), F.max("s").alias("b")).collect()):
+                if rank < row["n"]:
+                    break
+                rank -= row["n"]
+            rest = rest.where(F.col("s").between(row["a"], row["b"]))
+        out.append(float(low))
+    return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = 10_000, pairs: int = 60_000, seed: int = 11) -> Ranker:
-    """Ranker from documents and their labels (doc_id, ``label`` 0/1), on a sample by identifier hash of
-    about ``rows`` rows of each label; only their measures reach the driver."""
-    sample = labelled_sample(docs, labels, label, {0: rows, 1: rows}).select("text", "y")
-    found = sample.mapInArrow(tidy(_measured), "y int, x array<double>").toPandas()
-    y = found["y"].to_numpy()
-    if len(set(y)) < 2:
+GROUP = 512  # rows of which all pairs of different labels are compared
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", ridge: float = 3.0, pairs: int = 60_000) -> Ranker:
+    """Ranker from documents and their labels (doc_id, ``label`` 0/1), all of them.
+
+    Rows fall into groups of about ``GROUP`` by identifier hash, and within a group each text of label 1 makes a pair with each
+    of label 0, so every labelled text counts and pairs grow with the rows. ``pairs``: the weight of all of them against
+    ``ridge``. Only sums reach the driver."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)").dropDuplicates(["doc_id"])
+    n = known.count()
+    if not n:
         return Ranker()
-    x = np.stack(found["x"].to_numpy())
-    order = np.lexsort([*x.T, y])  # the same model however the rows arrive
-    sizes = labels.where(F.col(label).isin(0, 1)).agg(F.avg(1.0 - F.col(label)).alias("low")).first()
-    ranker = Ranker(x.shape[1])
-    ranker.fit(x[order], y[order], pairs, seed, float(sizes["low"]))
+    known = F.broadcast(known) if n <= SMALL else known
+    found = documents_only(docs).join(known, "doc_id").mapInArrow(tidy(_measured), "doc_id long, y int, x array<double>")
+    groups = max(1, n // GROUP)
+    found = found.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    rows = materialise(found.repartition(max(1, groups // 32), "g").sortWithinPartitions("g", "doc_id", "y", "x"), "measures")
+    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(sizes) < 2:
+        return Ranker()
+    total, low = sum(sizes.values()), sizes[0] / sum(sizes.values())
+    mean = _summed(rows, lambda y, x: x.sum(0)) / total
+    ranker = Ranker(len(mean))
+    ranker.mean, ranker.spread = mean, np.sqrt(_summed(rows, lambda y, x: ((x - mean) ** 2).sum(0)) / total) + 1e-6
+    w = np.zeros(len(mean))
+    for _ in range(40):
+        sums = _summed(rows, _newton(ranker, w))
+        if not sums[0]:  # no group has both labels
+            return Ranker()
+        slope, bend = sums[1 : len(w) + 1] * pairs / sums[0], sums[len(w) + 1 :].reshape(len(w), -1) * pairs / sums[0]
+        step = np.linalg.solve(bend + ridge * np.eye(len(w)), slope - ridge * w)
+        w = w + step
+        if np.abs(step).max() < 1e-6:
+            break
+    ranker.weights, ranker.fitted = w, True
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, len(w))
+            yield pa.record_batch([pa.array(ranker.scaled(x) @ w)], names=["s"])
+
+    scores = materialise(rows.select("x").mapInArrow(tidy(scored), "s double"), "scores")
+    # the cut lies between the scores around the quantile that the share of label 0 asks for
+    ranks = [min(total - 1, max(0, math.ceil(q * total) - 1)) for q in (low - 1e-9, min(1.0, low + 0.005))]
+    ranker.cut = float(np.mean(_at_rank(scores, ranks)))
+    ranker.scale = float(max(1e-6, scores.agg(F.stddev_pop("s")).first()[0]) / 3)
     return ranker
 
 
