@@ -56,3 +56,29 @@ def test_components_grow_with_their_links(spark):
     first = near_dedup.components(frame(links[:120]), scale)
     assert read(near_dedup._merged(first, frame(links[120:]), scale)) == read(near_dedup.components(frame(links), scale))
     assert near_dedup._merged(first, frame(links[:50]), scale) is first
+
+
+@pytest.mark.parametrize("voters", [1, 64])
+def test_consensus_of_large_buckets(spark, monkeypatch, voters):
+    """Buckets of the same members are dealt once, a few members vote for all, and every similar pair still meets, whoever votes."""
+    rng = random.Random(11)
+    base = list(range(200))
+    sets = {i: sorted(set(rng.sample(base, 185)) | {1000 + rng.randrange(60) for _ in range(rng.randrange(25))}) for i in range(300)}
+    count = {}
+    for x in (x for s in sets.values() for x in s):
+        count[x] = count.get(x, 0) + 1
+    shared = spark.createDataFrame([(i, sorted(s, key=lambda x: (count[x], x))) for i, s in sets.items()], "doc long, shared array<long>")
+    sizes = spark.createDataFrame([(i, len(s)) for i, s in sets.items()], "doc long, size int")
+    large = spark.createDataFrame([(k, i, 300) for k in range(8) for i in sets], "key long, doc long, n long")
+    monkeypatch.setattr(near_dedup, "VOTERS", voters)
+    met = {}
+    for r in near_dedup._by_consensus(large, shared, sizes, 0.8).collect():
+        met.setdefault(r["key"], []).append(r["doc"])
+    once = {k for k in met if len(met[k]) > 1}
+    together = {(a, b) for k in once for a in met[k] for b in met[k] if a < b}
+    sets = {i: set(s) for i, s in sets.items()}
+    near = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert near and near <= together
+    per_doc = sum(map(len, met.values())) / len(sets)
+    again = near_dedup._by_consensus(large.where("key = 0"), shared, sizes, 0.8).count() / len(sets)
+    assert per_doc == again  # eight buckets of the same members cost what one does

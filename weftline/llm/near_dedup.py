@@ -42,6 +42,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _G1, _G2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _ROOM = 50  # bits of a shingle hash beside its text's number
+VOTERS = 64  # members, about, that name a large bucket's consensus; all members are dealt by it
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,11 +260,17 @@ def _by_consensus(large: DataFrame, shared: DataFrame, sizes: DataFrame, similar
     """key, doc, p: buckets too large for pairs, dealt anew by the shingles that at least half of their members have.
 
     Leaders have changes of their own, so what they lack is common to all the others; the consensus of a
-    bucket lacks nothing common. It holds at most twice as many shingles as a member. As with a leader, similar texts share one of
+    bucket lacks nothing common. As with a leader, similar texts share one of
     the first shingles beyond it, or lie within it: then each one's size is at most the other's limit,
-    so a text looks for partners in the bands of sizes (1 % wide) that its limit allows."""
-    named = large.select("key", "doc", "n").join(shared, "doc")
-    often = named.select("key", "n", F.explode("shared").alias("x")).groupBy("key", "x").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n")).where("2 * m >= n")
+    so a text looks for partners in the bands of sizes (1 % wide) that its limit allows. This holds for any set of
+    shingles, so about ``VOTERS`` members of a bucket name it for all: who votes changes the size of the new buckets and no link.
+    Buckets of the same members are dealt once."""
+    members = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("h1"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("h2")]
+    once = large.groupBy("key").agg(*members).groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key")
+    named = large.join(once, "key", "left_semi").select("key", "doc", "n").join(shared, "doc")
+    voters = named.where(F.pmod(F.xxhash64("key", "doc"), F.greatest(F.lit(1), F.floor(F.col("n") / VOTERS))) == 0)
+    votes = voters.groupBy("key").agg(F.count(F.lit(1)).alias("v"))
+    often = voters.select("key", F.explode("shared").alias("x")).groupBy("key", "x").agg(F.count(F.lit(1)).alias("m")).join(votes, "key").where("2 * m >= v")
     consensus = often.groupBy("key").agg(F.collect_list("x").alias("u"))
     rows = named.join(sizes, "doc").join(consensus, "key", "left").withColumn("u", F.coalesce("u", F.array().cast("array<long>")))
     common, need = F.size(F.array_intersect("shared", "u")), F.ceil(F.lit(similarity) * F.col("size") - 1e-9).cast("int")
