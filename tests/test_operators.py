@@ -116,6 +116,14 @@ def test_crossref(spark):
     assert crossref.both_ways(refs.where("ord = 2")).where("relationship = 'modified-by'").count() == 1
 
 
+def test_best_references_are_dealt_once(spark):
+    """One shuffle for both steps and both directions."""
+    refs = spark.createDataFrame([("a", x, "uses", "", True, i) for i, x in enumerate("bbcd")], "src string, dst string, relationship string, context string, bidirectional boolean, ord int")
+    both = crossref.both_ways(crossref.optimised(refs, 2))
+    assert both._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert sorted((r["src"], r["dst"], r["relationship"]) for r in both.collect()) == [("a", "b", "uses"), ("a", "c", "uses"), ("b", "a", "used-by"), ("c", "a", "used-by")]
+
+
 def test_render(spark):
     where = ("src/a.ts", "f", "C", 3, "x()")
     rows = [("r", 0, "n0", "Login", "business-feature", "high", 0.95, [("critical", "bug", "broken", "mend it", where)], ["tidy"], [], 1, 0)]

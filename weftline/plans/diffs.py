@@ -116,12 +116,12 @@ def best_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers of a customer's lines as references, by ship status and size of kinds that differ in weight: one each, the five
     most specific of a customer, both ways, with the target's name."""
     rows = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    place = ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")) * 2_000 + F.col("l_suppkey")
     refs = rows.select(
         F.concat(F.lit("c"), F.col("o_custkey")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("dst"), _pick(RELATIONS, F.col("l_partkey") % len(RELATIONS)).alias("relationship"),
-        F.col("l_linestatus").alias("context"), F.lit(True).alias("bidirectional"), (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")) * 2_000 + F.col("l_suppkey")).alias("ord"), F.col("l_extendedprice"),
+        F.col("l_linestatus").alias("context"), F.lit(True).alias("bidirectional"), F.struct(place.alias("place"), F.isnull("l_linestatus").alias("none"), F.col("l_linestatus").alias("least")).alias("ord"),
     )
-    first = refs.groupBy("src", "dst", "relationship", "ord").agg(F.min("context").alias("context"), F.first("bidirectional").alias("bidirectional"))
-    best = crossref.optimised(first, 5)
+    best = crossref.optimised(refs, 5)  # of rows at one place the least context counts, as a null only if all are
     both = crossref.both_ways(best.select(*crossref.REF))
     nodes = read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("id"), F.col("s_name").alias("name"))
     nodes = nodes.unionByName(read(spark, sf_dir, "customer").where("c_custkey % 3 > 0").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("id"), F.col("c_name").alias("name")))
