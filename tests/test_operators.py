@@ -25,6 +25,17 @@ def test_hunks(files):
     assert (heads[0]["semantic_context"], heads[1]["old_lines"], heads[1]["new_lines"]) == ("foo", 1, 1)
 
 
+def test_hunks_are_numbered_in_their_rows(spark, files):
+    """Lines are neither shuffled nor sorted; heads within a line, adjacent heads, blank lines and nulls."""
+    plan = diff.lines(files)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and "Window" not in plan
+    assert "Window" not in diff.hunks(files)._jdf.queryExecution().executedPlan().toString()
+    odd = spark.createDataFrame([("x", "lost\n@@ -1 +4 @@\nx @@ -2,3 +9,1 @@ class A\n\n-a\n\n+b\n\\c\n@@ nothing @@\n-d\n"), ("y", None), ("z", "+a\n-b")], "filename string, patch string")
+    got = [(r["hunk_id"], r["idx"], r["type"], r["line_number"], r["content"]) for r in diff.lines(odd).orderBy("hunk_id", "idx").collect()]
+    assert got == [(1, 0, "delete", -1, "a"), (1, 1, "add", 9, "b"), (1, 2, "context", 10, "c"), (1, 3, "context", 11, "@ nothing @@"), (1, 4, "delete", -1, "d")]
+    assert [(r["hunk_id"], r["old_start"], r["new_start"]) for r in diff.hunks(odd).orderBy("hunk_id").collect()] == [(0, 1, 4), (1, 2, 9)]
+
+
 def test_components(files):
     d = diff.lines(files)
     imports, exports = diff.import_changes(d), diff.export_changes(d)

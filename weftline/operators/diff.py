@@ -9,34 +9,35 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import code
+from ..functions.base import let
 from ..functions.predicates import diff_file_kind, is_key_change
 
 
 def lines(files: DataFrame) -> DataFrame:
     """file, hunk_id, idx, type, line_number, content, is_key of (filename, patch).
 
-    The hunk is a running count of headers, the line number its start plus the running count of lines
-    that are no deletion; deletions get -1; empty lines and lines before the first header drop out."""
-    raw = files.select(F.col("filename").alias("file"), F.posexplode(F.split(F.coalesce("patch", F.lit("")), "\n")).alias("pos", "line"))
-    w = W.partitionBy("file").orderBy("pos")
-    raw = raw.withColumn("_head", F.col("line").rlike(code.HUNK)).withColumn("hunk_id", F.sum(F.col("_head").cast("int")).over(w) - 1)
-    start = F.max(F.when(F.col("_head"), F.regexp_extract("line", code.HUNK, 3).cast("int"))).over(W.partitionBy("file", "hunk_id"))
-    body = raw.withColumn("_start", start).where("NOT _head AND hunk_id >= 0 AND line <> ''")
-    kind = F.when(F.col("line").startswith("+"), "add").when(F.col("line").startswith("-"), "delete").otherwise("context")
-    body = body.withColumn("type", kind).withColumn("content", F.expr("substring(line, 2)"))
-    h = W.partitionBy("file", "hunk_id").orderBy("pos")
-    before = F.coalesce(F.sum((F.col("type") != "delete").cast("int")).over(h.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    number = F.when(F.col("type") == "delete", -1).otherwise(F.col("_start") + before)
-    return body.select("file", F.col("hunk_id").cast("int").alias("hunk_id"), (F.row_number().over(h) - 1).alias("idx"), "type", number.cast("int").alias("line_number"), "content", is_key_change(F.col("content")).alias("is_key"))
+    A hunk begins at a line with a header and has its place among them; the line number is its start plus the number of lines
+    before that are no deletion; deletions get -1; empty lines and lines before the first header drop out. Patches are cut at their
+    headers and each hunk is numbered within its own row, so no line is shuffled or sorted."""
+    parts = F.split(F.coalesce("patch", F.lit("")), rf"\n(?=[^\n]*?{code.HUNK})")
+    cut = files.select(F.col("filename").alias("file"), F.posexplode(F.filter(parts, lambda p: F.substring_index(p, "\n", 1).rlike(code.HUNK))).alias("hunk_id", "hunk"))
+    text, kind = F.split("hunk", "\n"), lambda x: F.when(x.startswith("+"), "add").when(x.startswith("-"), "delete").otherwise("context")
+    body = F.transform(F.filter(F.slice(text, F.lit(2), F.size(text)), lambda x: x != ""), lambda x, i: F.struct(i.alias("idx"), kind(x).alias("type"), x.alias("line")))
+    row = lambda r, number: F.struct(r["idx"].alias("idx"), r["type"].alias("type"), number.alias("line_number"), r["line"].alias("line"))
+    kept = lambda rows: F.transform(F.filter(rows, lambda r: r["type"] != "delete"), lambda r, i: row(r, F.col("start") + i))
+    gone = lambda rows: F.transform(F.filter(rows, lambda r: r["type"] == "delete"), lambda r: row(r, F.lit(-1)))
+    numbered = cut.select("file", "hunk_id", F.regexp_extract("hunk", code.HUNK, 3).cast("int").alias("start"), body.alias("body"))
+    each = numbered.select("file", "hunk_id", F.inline(let(F.col("body"), lambda rows: F.concat(kept(rows), gone(rows)))))
+    return each.withColumn("content", F.expr("substring(line, 2)")).select("file", "hunk_id", "idx", "type", "line_number", "content", is_key_change(F.col("content")).alias("is_key"))
 
 
 def hunks(files: DataFrame) -> DataFrame:
     """file, hunk_id, old_start, old_lines, new_start, new_lines, semantic_context; a missing length is 1."""
-    raw = files.select(F.col("filename").alias("file"), F.posexplode(F.split(F.coalesce("patch", F.lit("")), "\n")).alias("pos", "line")).where(F.col("line").rlike(code.HUNK))
+    heads = F.filter(F.split(F.coalesce("patch", F.lit("")), "\n"), lambda x: x.rlike(code.HUNK))
+    raw = files.select(F.col("filename").alias("file"), F.posexplode(heads).alias("hunk_id", "line"))
     g = lambda i: F.regexp_extract("line", code.HUNK, i)
     size = lambda i: F.when(g(i) == "", 1).otherwise(g(i).cast("int"))
-    order = F.row_number().over(W.partitionBy("file").orderBy("pos")) - 1
-    return raw.select("file", order.alias("hunk_id"), g(1).cast("int").alias("old_start"), size(2).alias("old_lines"), g(3).cast("int").alias("new_start"), size(4).alias("new_lines"), code.semantic_context(g(5)).alias("semantic_context"))
+    return raw.select("file", "hunk_id", g(1).cast("int").alias("old_start"), size(2).alias("old_lines"), g(3).cast("int").alias("new_start"), size(4).alias("new_lines"), code.semantic_context(g(5)).alias("semantic_context"))
 
 
 def _changed(diff: DataFrame) -> DataFrame:
