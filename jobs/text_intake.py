@@ -48,18 +48,20 @@ DIGEST = "documents long, contents long, copies long, complex_documents long, th
 
 
 def catalogued(docs: DataFrame) -> DataFrame:
-    """The catalogue's columns, without the batch, of every document."""
-    text, source = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("source").cast("string")
-    change = texts.change_complexity(text, source)
+    """The catalogue's columns, without the batch, of every document. A text is put in lower case once for all of its labels."""
+    docs = docs.select("doc_id", "lang", F.col("source").cast("string").alias("source"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.select("*", F.lower("text").alias("lowered"), pred.named_text(F.col("source"), F.col("text")).alias("named"))
+    text, source, lowered = F.col("text"), F.col("source"), F.col("lowered")
+    change = texts.change_complexity(text, source, lowered=lowered)
     key = jsonx.content_key(F.lit("document"), text)
     lines = F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
     return docs.select(
         F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), key)).alias("document"), F.col("doc_id").cast("long").alias("doc_id"),
         F.col("lang").cast("string").alias("lang"), source.alias("source"), key.alias("content_key"),
-        F.concat_ws(",", pred.pattern_labels(text)).alias("patterns"), F.concat_ws(",", pred.keyword_labels(text)).alias("keywords"),
+        F.concat_ws(",", pred.pattern_labels(text, lowered)).alias("patterns"), F.concat_ws(",", pred.keyword_labels(text, lowered)).alias("keywords"),
         lines.cast("long").alias("n_lines"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"),
         F.coalesce(change["simple"], F.lit(False)).alias("simple"), F.coalesce(change["complex"], F.lit(False)).alias("complex"),
-        pred.business_domain(source, text).alias("domain"),
+        pred.business_domain(source, text, F.col("named")).alias("domain"),
     )
 
 

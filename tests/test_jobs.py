@@ -134,3 +134,18 @@ def test_command_line(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("calls")).first()[0] == 80
     lacking = subprocess.run([sys.executable, "-m", "jobs.text_intake", "--source", source], cwd=ROOT, capture_output=True, text=True, timeout=100)
     assert lacking.returncode == 2 and "no path for output" in lacking.stderr
+
+
+def test_texts_are_put_in_lower_case_once(spark):
+    """One lower case of a text serves all labels, and patterns wait for their word: same verdicts as a plain search."""
+    from weftline.functions import text as texts
+    from weftline.functions.base import any_match, led_match
+
+    docs = spark.createDataFrame([(1, "Import a\nLogger", "en", "x")], "doc_id long, text string, lang string, source string")
+    plan = text_intake.catalogued(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == plan.count("lower(source") + 2, plan  # the text, and the text with its source; paths are short
+    odd = ["", None, "import x logger", "import\nlogger", "x.warn(", "swarn(", "console.error", "console.warn is replaced by logger", "add the import", "update", "renamed variable", "business logic", "user\nflow", "featureflag", "workflows", "auth"]
+    rows = spark.createDataFrame([(x,) for x in odd], "t string")
+    for patterns in (texts.SIMPLE_CHANGE_WIDE, texts.COMPLEX_CHANGE_WIDE):
+        got = rows.select(led_match(F.col("t"), patterns).alias("a"), any_match(F.col("t"), patterns).alias("b")).collect()
+        assert [r["a"] for r in got] == [r["b"] for r in got] and {r["a"] for r in got} == {True, False}

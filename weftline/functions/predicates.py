@@ -150,18 +150,23 @@ def valid_file_name(name: Column) -> Column:
     return ~holds(name, ("..", "/", "\\")) & name.rlike(r"^[A-Za-z0-9._-]+$")
 
 
-def business_domain(name: Column, description: Column) -> Column:
-    text = F.lower(F.concat(F.coalesce(name, F.lit("")), F.lit(" "), F.coalesce(description, F.lit(""))))
+def named_text(name: Column, description: Column) -> Column:
+    return F.lower(F.concat(F.coalesce(name, F.lit("")), F.lit(" "), F.coalesce(description, F.lit(""))))
+
+
+def business_domain(name: Column, description: Column, lowered: Column | None = None) -> Column:
+    """``lowered``: their ``named_text``, where it is at hand."""
+    text = named_text(name, description) if lowered is None else lowered
     return first_of([(holds(text, words), domain) for words, domain in DOMAINS], DEFAULT_DOMAIN)
 
 
-def pattern_labels(text: Column) -> Column:
-    t = F.lower(text)
+def pattern_labels(text: Column, lowered: Column | None = None) -> Column:
+    t = F.lower(text) if lowered is None else lowered
     return labels([(holds(t, words), name) for words, name in PATTERN_LABELS])
 
 
-def keyword_labels(text: Column) -> Column:
-    t = F.lower(text)
+def keyword_labels(text: Column, lowered: Column | None = None) -> Column:
+    t = F.lower(text) if lowered is None else lowered
     return labels([(holds(t, words), name) for words, name in KEYWORD_LABELS])
 
 

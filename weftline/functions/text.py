@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import any_match, clamp, first_of, holds, js_or, lookup
+from .base import any_match, clamp, first_of, holds, js_or, led_match, lookup
 
 # ---- fixed values ----
 SIMPLE_CHANGE = (
@@ -56,12 +56,13 @@ def multiple_aspects(name: Column, description: Column) -> Column:
     return (found(ACTIONS) > 1) | holds(t, (" and ", ", ")) | (found(ASPECT_TYPES) > 1)
 
 
-def change_complexity(changes: Column, path: Column, context: Column | None = None) -> Column:
-    """Struct (simple, complex, confidence): two independent verdicts. With ``context`` the wider pattern sets apply."""
-    t, p = F.lower(F.coalesce(changes, F.lit(""))), F.lower(path)
+def change_complexity(changes: Column, path: Column, context: Column | None = None, lowered: Column | None = None) -> Column:
+    """Struct (simple, complex, confidence): two independent verdicts. With ``context`` the wider pattern sets apply; ``lowered``: the
+    changes in lower case, where they are at hand."""
+    t, p = F.lower(F.coalesce(changes, F.lit(""))) if lowered is None else lowered, F.lower(path)
     simple, hard = (SIMPLE_CHANGE, COMPLEX_CHANGE) if context is None else (SIMPLE_CHANGE_WIDE, COMPLEX_CHANGE_WIDE)
     c = None if context is None else F.lower(F.coalesce(context, F.lit("")))
-    hit = lambda patterns: any_match(t, patterns) if c is None else any_match(t, patterns) | any_match(c, patterns)
+    hit = lambda patterns: led_match(t, patterns) if c is None else led_match(t, patterns) | led_match(c, patterns)
     is_simple = hit(simple) | holds(p, ("test", "spec")) | (F.contains(t, F.lit("import")) & (F.size(F.split(t, "\n")) < 5))
     is_complex = hit(hard) | (F.size(F.split(t, "file")) > 3) | holds(t, ("new feature", "business requirement"))
     return F.struct(is_simple.alias("simple"), is_complex.alias("complex"), F.when(is_simple | is_complex, 0.9).otherwise(0.6).alias("confidence"))
