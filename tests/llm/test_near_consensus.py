@@ -82,3 +82,22 @@ def test_consensus_of_large_buckets(spark, monkeypatch, voters):
     per_doc = sum(map(len, met.values())) / len(sets)
     again = near_dedup._by_consensus(large.where("key = 0"), shared, sizes, 0.8).count() / len(sets)
     assert per_doc == again  # eight buckets of the same members cost what one does
+
+
+def test_plans_stay_small(spark, monkeypatch):
+    """No step of the dealing repeats another's plan for each of its readers: the driver holds each plan whole (84 tables were read in one before)."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(60):
+        w = base[:]
+        for _ in range(rng.choice([2, 3, 4])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    leaves = {}
+    real = near_dedup.materialise
+    monkeypatch.setattr(near_dedup, "materialise", lambda df, label: leaves.setdefault(label, []).append(df._jdf.queryExecution().analyzed().collectLeaves().size()) or real(df, label))
+    found = near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"), turns=1, few=(4, 6))
+    assert {r["doc_id"]: r["group_id"] for r in found.collect()} == all_pairs(rows)
+    assert "dealt" in leaves
+    assert max(n for found in leaves.values() for n in found) <= 20, leaves

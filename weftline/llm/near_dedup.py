@@ -163,14 +163,17 @@ def common_shingles(texts: DataFrame) -> DataFrame:
 
 class _Scale:
     """How small tables of up to ``rows`` rows are joined and written: below a bound they are broadcast
-    (beyond it joins shuffle), and files hold a quarter of a million rows."""
+    (beyond it joins shuffle), and files hold a quarter of a million rows. After each, the driver collects
+    garbage, so that its heap does not grow with the number of jobs."""
 
     def __init__(self, rows: int):
         self.files = max(6, rows // 250_000)
         self.near = F.broadcast if rows <= SMALL else lambda df: df
 
     def write(self, df: DataFrame, label: str) -> DataFrame:
-        return materialise(df.repartition(self.files), label)
+        found = materialise(df.repartition(self.files), label)
+        settle(df.sparkSession)
+        return found
 
 
 def _merged(known: DataFrame, links: DataFrame, scale: _Scale) -> DataFrame:
@@ -195,7 +198,6 @@ def components(links: DataFrame, scale: _Scale) -> DataFrame:
         jump = label.select(F.col("node").alias("c"), F.col("c").alias("j"))
         new = near.join(scale.near(label), "node").join(scale.near(jump), "c").select("node", F.least("m", "j", "c").alias("c2"), "c")
         new = scale.write(new, "labels")
-        settle(links.sparkSession)
         changed = not new.where("c2 <> c").isEmpty()
         label = new.select("node", F.col("c2").alias("c"))
         if not changed:
@@ -219,14 +221,14 @@ def _extras(rel: DataFrame, known: DataFrame, shared: DataFrame, similarity: flo
     in common with the leader, one of the first so many in any fixed order. Shingles of no other text
     come first in that order and need no bucket."""
     none = F.array().cast("array<long>")
-    rel = rel.join(known, ["a", "b"])
-    rel = rel.join(shared.select(F.col("doc").alias("a"), F.col("shared").alias("sa")), "a", "left").join(shared.select(F.col("doc").alias("b"), F.col("shared").alias("sb")), "b", "left")
+    rel = scale.write(rel.join(known, ["a", "b"]), "led")  # read three times below
+    lists = rel.join(shared.select(F.col("doc").alias("a"), F.col("shared").alias("sa")), "a", "left").join(shared.select(F.col("doc").alias("b"), F.col("shared").alias("sb")), "b", "left")
     sa, sb = F.coalesce("sa", none), F.coalesce("sb", none)
     need = F.ceil(F.lit(similarity) * F.col("size") - 1e-9).cast("int")
     beyond = F.array_except(sb, sa)
     first = F.size(sb) - need + 1  # the prefix less the shingles of no other text
     take = F.when(need > F.col("common"), F.greatest(F.lit(0), first)).otherwise(F.size(beyond))
-    keys = rel.select("a", "b", "p", F.explode(F.slice(beyond, F.lit(1), take)).alias("x")).select(F.xxhash64("a", "x", F.col("p") == F.col("b")).alias("key"), F.col("b").alias("doc"), "p")
+    keys = lists.select("a", "b", "p", F.explode(F.slice(beyond, F.lit(1), take)).alias("x")).select(F.xxhash64("a", "x", F.col("p") == F.col("b")).alias("key"), F.col("b").alias("doc"), "p")
     # shingles of the leader alone can make b and a text of up to ``limit`` shingles similar. Texts like the
     # leader are of one component; another one meets those of them, and those others, that its limit allows
     limit = F.floor((1 + similarity) / similarity * F.col("common") + 1e-9) - F.col("size")
@@ -242,21 +244,21 @@ def _dealt_anew(star: DataFrame, known: DataFrame, shared: DataFrame, similarity
     Each text has a main leader: of those it was compared with, the one compared with most texts. Two texts of one main
     leader are settled by its extras alone (p is then the text itself, so all pairs count); only a
     bucket whose members have several is dealt by its own leader too, for the pairs across (p is the
-    main leader)."""
+    main leader). What several branches read is written, or the plan repeats it for each and outgrows the driver."""
     docs = star.select("doc").distinct()
     fame = known.groupBy("a").agg(F.count(F.lit(1)).alias("fame"))
     main = known.select("a", F.col("b").alias("doc")).join(scale.near(docs), "doc", "left_semi").join(scale.near(fame), "a")
-    main = main.groupBy("doc").agg(F.max_by("a", F.struct("fame", -F.col("a"))).alias("main"))
+    main = scale.write(main.groupBy("doc").agg(F.max_by("a", F.struct("fame", -F.col("a"))).alias("main")), "mains")
     own = main.select(F.col("main").alias("a"), F.col("doc").alias("b"), F.col("doc").alias("p"))
     tagged = star.join(scale.near(main), "doc")
     mixed = tagged.groupBy("key").agg(F.min("main").alias("m0"), F.max("main").alias("m1")).where("m0 <> m1").select("key")
     across = tagged.join(mixed, "key", "left_semi").select(F.col("lead").alias("a"), F.col("doc").alias("b"), F.col("main").alias("p")).distinct()
-    found = _extras(own.unionByName(across), known, shared, similarity, scale)
+    found = scale.write(_extras(own.unionByName(across), known, shared, similarity, scale), "extras")
     more = found.groupBy("key").agg(F.min("p").alias("p0"), F.max("p").alias("p1")).where("p0 <> p1").select("key")
     return found.join(more, "key", "left_semi")
 
 
-def _by_consensus(large: DataFrame, shared: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+def _by_consensus(large: DataFrame, shared: DataFrame, sizes: DataFrame, similarity: float, scale: _Scale | None = None) -> DataFrame:
     """key, doc, p: buckets too large for pairs, dealt anew by the shingles that at least half of their members have.
 
     Leaders have changes of their own, so what they lack is common to all the others; the consensus of a
@@ -265,18 +267,20 @@ def _by_consensus(large: DataFrame, shared: DataFrame, sizes: DataFrame, similar
     so a text looks for partners in the bands of sizes (1 % wide) that its limit allows. This holds for any set of
     shingles, so about ``VOTERS`` members of a bucket name it for all: who votes changes the size of the new buckets and no link.
     Buckets of the same members are dealt once."""
+    scale = scale or _Scale(large.count())
     members = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("h1"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("h2")]
     once = large.groupBy("key").agg(*members).groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key")
-    named = large.join(once, "key", "left_semi").select("key", "doc", "n").join(shared, "doc")
+    named = scale.write(large.join(once, "key", "left_semi").select("key", "doc", "n").join(shared.select("doc"), "doc", "left_semi"), "members")
     voters = named.where(F.pmod(F.xxhash64("key", "doc"), F.greatest(F.lit(1), F.floor(F.col("n") / VOTERS))) == 0)
     votes = voters.groupBy("key").agg(F.count(F.lit(1)).alias("v"))
-    often = voters.select("key", F.explode("shared").alias("x")).groupBy("key", "x").agg(F.count(F.lit(1)).alias("m")).join(votes, "key").where("2 * m >= v")
-    consensus = often.groupBy("key").agg(F.collect_list("x").alias("u"))
-    rows = named.join(sizes, "doc").join(consensus, "key", "left").withColumn("u", F.coalesce("u", F.array().cast("array<long>")))
+    often = voters.join(shared, "doc").select("key", F.explode("shared").alias("x")).groupBy("key", "x").agg(F.count(F.lit(1)).alias("m")).join(votes, "key").where("2 * m >= v")
+    consensus = scale.write(often.groupBy("key").agg(F.collect_list("x").alias("u")), "consensus")
+    rows = named.join(shared, "doc").join(sizes, "doc").join(consensus, "key", "left").withColumn("u", F.coalesce("u", F.array().cast("array<long>")))
     common, need = F.size(F.array_intersect("shared", "u")), F.ceil(F.lit(similarity) * F.col("size") - 1e-9).cast("int")
     limit = F.floor((1 + similarity) / similarity * common + 1e-9) - F.col("size")
-    rows = rows.select("key", "doc", "size", limit.alias("limit"), F.array_except("shared", "u").alias("beyond"), F.when(need > common, F.greatest(F.lit(0), F.size("shared") - need + 1)).alias("take"))
-    keys = rows.select("key", "doc", F.explode(F.slice("beyond", F.lit(1), F.coalesce("take", F.size("beyond")))).alias("x")).select(F.xxhash64("key", "x").alias("key"), "doc")
+    beyond, take = F.array_except("shared", "u"), F.when(need > common, F.greatest(F.lit(0), F.size("shared") - need + 1))
+    rows = scale.write(rows.select("key", "doc", "size", limit.alias("limit"), F.slice(beyond, F.lit(1), F.coalesce(take, F.size(beyond))).alias("xs")), "judged")
+    keys = rows.select("key", "doc", F.explode("xs").alias("x")).select(F.xxhash64("key", "x").alias("key"), "doc")
     ends = rows.groupBy("key").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
     band = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(1.01))).cast("int")
     low, high = F.greatest(need, F.col("lo")), F.least("limit", "hi")
@@ -305,15 +309,13 @@ def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similarity: fl
 
     buckets, comp, known, shared = entry.select("key", "doc", F.col("doc").alias("p")), None, None, None
     for turn in range(turns + 1):
-        settle(docs.sparkSession)
         rest = scale.write(_open(buckets.join(scale.near(dense), "doc"), comp, scale), "open")
         for _ in range(turns if turn == turns else 0):
             wide = rest.where(F.col("n") > few[1])
             if shared is None or wide.isEmpty():
                 break
             sizes = sig.select(F.col("doc_id").alias("doc"), "size").join(scale.near(wide.select("doc").distinct()), "doc", "left_semi").groupBy("doc").agg(F.max("size").alias("size"))
-            dealt = scale.write(_by_consensus(wide, shared, sizes, similarity), "consensus")
-            settle(docs.sparkSession)
+            dealt = scale.write(_by_consensus(wide, shared, sizes, similarity, scale), "anew")
             narrow = rest.where(F.col("n") <= few[1]).select("key", "doc", "p", "score", "component", "n")
             rest = scale.write(narrow.unionByName(_open(dealt.join(scale.near(dense), "doc"), comp, scale)), "open")
         least = few[min(turn, 1)] if turn < turns else 1 << 62
@@ -329,7 +331,6 @@ def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similarity: fl
             star = scale.write(large.join(lead, "key").where("doc <> lead").select("key", "lead", "doc"), "stars")
             rays = star.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
             pairs = pairs.unionByName(rays if known is None else rays.join(known.select("a", "b"), ["a", "b"], "left_anti")).distinct()
-        settle(docs.sparkSession)
         new = scale.write(compared(pairs, texts), "compared")
         if new.isEmpty() and star is None:
             break
