@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from weftline.functions import assignments
@@ -129,3 +130,25 @@ def test_containing_reads_texts_once_for_many_patterns(spark):
     found = snippets.containing(texts, patterns)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     assert sorted(tuple(r) for r in found.collect()) == [(i, f"file é{i:06d}.ts") for i in range(300)]
+
+
+def test_file_heads_are_those_of_the_diff(spark):
+    shown = spark.createDataFrame(
+        [("t", 1, "diff --git\n@@ -1 +1 @@\n+ new a.ts \n-old\n\n same  "), ("t", 2, "+x in src/b.ts"), ("t", 3, "+a.ts again a.ts\n  \n+"), ("u", 4, "+a.ts elsewhere"), ("t", 5, "diff a.ts\n\t"), ("t", 6, None)],
+        "theme string, id long, text string",
+    )
+    files = spark.createDataFrame([("t", "src/a.ts"), ("t", "lib/a.ts"), ("t", "src/b.ts"), ("t", "src/a.ts"), ("u", "z"), ("u", "all/"), ("t", None)], "theme string, file string")
+    diff = snippets.to_diff(shown, files)
+    more = {(r["theme"], r["file"]): (r["s"], r["i"]) for r in diff.groupBy("theme", "file").agg(F.max("first_line").alias("s"), F.min("id").alias("i")).collect()}
+    want = sorted((*tuple(r)[:6], *more[r["theme"], r["file"]]) for r in snippets.heads(diff).collect())
+    for block in (1, 1000):
+        found = snippets.file_heads(shown, files, block)
+        assert sorted(tuple(r) for r in found.collect()) == want and len(want) == 4
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("MapInArrow") == 1  # no lines are dealt by file
+
+
+def test_texts_of_one_hash_are_told_apart():
+    row, h, text = np.array([1, 0, 1, 1]), np.array([5, 5, 5, 5], np.uint64), np.array([list(b"ab"), list(b"ab"), list(b"cd"), list(b"ab")], np.uint8)
+    own, found = snippets._once(row, h, text)
+    assert sorted(zip(own.tolist(), found.to_pylist(), strict=True)) == [(0, "ab"), (1, "ab"), (1, "cd")]
