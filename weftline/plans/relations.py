@@ -20,11 +20,9 @@ def related_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.concat(F.lit("n"), F.col("s_nationkey"), F.lit("/"), k % 5, F.lit("/a.ts")), F.concat(F.lit("own/"), k, F.lit("/b.ts"))).alias("affected_files"),
         F.concat_ws(" ", word(7, 50), word(13, 60), word(1, 40), word(3, 45), F.lit("common"), F.concat(F.lit("u"), k), F.concat(F.lit("v"), k)).alias("context"),
     )
-    pairs = cluster.stored(crossref.related(nodes).select("a", "b", "context"))
-    leader = crossref.related_groups(nodes, pairs)
-    leader = small(cluster.stored(leader), 1_000_000)
-    both = pairs.join(leader.withColumnsRenamed({"ord": "a", "leader": "leader_a"}), "a").join(leader.withColumnsRenamed({"ord": "b", "leader": "leader_b"}), "b")
-    return both.select("a", "b", "context", "leader_a", "leader_b")
+    leader = cluster.stored(crossref.related_groups(nodes))
+    pairs = crossref.related(nodes.join(small(leader, 1_000_000), "ord"), carry=["leader"])
+    return pairs.select("a", "b", "context", F.col("leader").alias("leader_a"), F.col("leader2").alias("leader_b"))
 
 
 RELATED_SQL = """
